@@ -5,11 +5,12 @@ from __future__ import annotations
 
 def queries() -> dict:
     """Query name -> callable(spark, sf_dir) of every operator here."""
-    from . import decontaminate, licenses, packing, sharding, tokens, toxicity, warc
+    from . import decontaminate, licenses, packing, sharding, simhash, tokens, toxicity, warc
 
     return {
         "op1_warc": warc.query,
         "op3_token_output": tokens.query,
+        "op4_simhash": simhash.query,
         "op5_packing": packing.query,
         "op7_toxicity": toxicity.query,
         "op8_sharding": sharding.query,
