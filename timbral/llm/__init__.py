@@ -5,10 +5,11 @@ from __future__ import annotations
 
 def queries() -> dict:
     """Query name -> callable(spark, sf_dir) of every operator here."""
-    from . import decontaminate, licenses, packing, sharding, simhash, tokens, toxicity, warc
+    from . import decontaminate, jaccard, licenses, packing, sharding, simhash, tokens, toxicity, warc
 
     return {
         "op1_warc": warc.query,
+        "op2_jaccard": jaccard.query,
         "op3_token_output": tokens.query,
         "op4_simhash": simhash.query,
         "op5_packing": packing.query,
@@ -20,6 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, warc
+    from . import decontaminate, jaccard, warc
 
-    return {"op1_warc": warc.SQL, "op9_decontamination": decontaminate.SQL}
+    return {"op1_warc": warc.SQL, "op2_jaccard": jaccard.SQL, "op9_decontamination": decontaminate.SQL}

@@ -113,7 +113,7 @@ def word_hash(word: str) -> int:
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k consecutive words at each start (len(h) - k + 1 of them)."""
-    out = np.full(max(len(h) - k + 1, 0), np.uint64(k) * _BASE)
+    out = np.full(max(len(h) - k + 1, 0), k * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
     for j in range(k):
         out = (out ^ h[j : j + len(out)]) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
