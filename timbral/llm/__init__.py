@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def queries() -> dict:
     """Query name -> callable(spark, sf_dir) of every operator here."""
-    from . import decontaminate, jaccard, licenses, packing, sharding, simhash, tokens, toxicity, warc
+    from . import decontaminate, jaccard, licenses, packing, sharding, simhash, suffix, tokens, toxicity, warc
 
     return {
         "op1_warc": warc.query,
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_token_output": tokens.query,
         "op4_simhash": simhash.query,
         "op5_packing": packing.query,
+        "op6_suffix_dedup": suffix.query,
         "op7_toxicity": toxicity.query,
         "op8_sharding": sharding.query,
         "op9_decontamination": decontaminate.query,

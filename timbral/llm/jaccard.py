@@ -64,12 +64,12 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def summaries(documents: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """One pass over all texts: the table (doc_id, n, node) and the summed sketch."""
+    """One pass over all texts: the table (doc_id, key, n, node), key a hash of the text, and the summed sketch."""
     spark, path = documents.sparkSession, new_path(documents.sparkSession, "summaries")
     size, piece = 1 << SKETCH_BITS, 1 << PIECE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "piece", "task", "counts"]
+        names = ["doc_id", "key", "n", "node", "piece", "task", "counts"]
         sketch, last = np.zeros(size, np.int64), []
         for batch in batches:
             n, node = [], []
@@ -81,15 +81,15 @@ def summaries(documents: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                     sketch += np.bincount(np.concatenate(last), minlength=size)
                     last = []
             none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], names)
         if last:
             sketch += np.bincount(np.concatenate(last), minlength=size)
         parts = [p.astype("<i8").tobytes() for p in np.split(sketch, size // piece)]
         none = [None] * len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.array(none, pa.int64())] * 3, pa.array(none, pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names)
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs.mapInArrow(run, "doc_id bigint, n bigint, node binary, piece int, task bigint, counts binary").write.parquet(path)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, node binary, piece int, task bigint, counts binary").write.parquet(path)
     both = spark.read.parquet(path)
 
     def add(table: pa.Table) -> pa.Table:
@@ -103,7 +103,7 @@ def summaries(documents: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     counts = np.zeros(size, np.int64)
     for r in sketch.collect():  # a fixed number of rows
         counts[r.piece * piece : (r.piece + 1) * piece] += np.frombuffer(r.counts, "<i8")
-    return both.filter("n is not null").select("doc_id", "n", "node"), counts
+    return both.filter("n is not null").select("doc_id", "key", "n", "node"), counts
 
 
 def _prefixes(documents: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -201,15 +201,36 @@ def links(documents: DataFrame, k: int, percent: int, counts: np.ndarray) -> Dat
     return components(good.unionByName(more), "a", "b")
 
 
-def near_duplicates(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _labelled(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, key, n, node, root, component_id of every row; no node, root or component for the empty set."""
     rows, counts = summaries(documents, k)
     nodes = stash(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = links(documents, k, percent, counts)
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    told = rows.join(named, "node", "left")
-    return told.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = nodes.join(links(documents, k, percent, counts), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    return rows.join(named, "node", "left")
+
+
+def near_duplicates(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _labelled(documents, k, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one row left of each component: that of the least doc_id (null ids last, then by
+    text hash).  Documents without words all stay.  Columns are kept."""
+    rows = stash(_labelled(documents, k, percent).select("doc_id", "key", "n", "root"), "labelled")
+    who = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    least = rows.filter("n > 0").groupBy("root").agg(F.min(who).alias("m")).select("m.doc_id", "m.key")
+    blank = rows.filter("n = 0").select("doc_id", "key").distinct()
+    times = rows.groupBy("doc_id", "key").agg(F.count("*").alias("c"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
+    kept = least.join(times, same(least, times)).select(least["doc_id"].alias("__id"), least["key"].alias("__key"), (F.col("c") > 1).alias("__again"))
+    kept = stash(kept.unionByName(blank.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(False).alias("__again"))), "kept")
+    keyed = documents.withColumn("__text", F.xxhash64("text"))
+    found = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"]))
+    once = found.filter("not __again").select(*documents.columns)
+    # rows that come again word for word under one id
+    return once.unionByName(found.filter("__again").dropDuplicates(["__id", "__key"]).select(*documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,11 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score under 0.5, with the columns and rows they came with."""
+    return score(documents, fit(documents, labels)).filter("score < 0.5").select(*documents.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(documents, fit(documents, read(spark, sf_dir, "labels")))
