@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ STEM = 5
 #: Words are hashed to this many weights: the model is one megabyte at any input size.
 BITS = 18
 #: The fit takes at most so many labelled documents of either label (least crc32 first) ...
-SAMPLE_PER_LABEL = 3000
+SAMPLE_PER_LABEL = 2000
 #: ... and reads so many code points of each at most, which bounds the driver's memory.
-SAMPLE_CHARS = 8000
+SAMPLE_CHARS = 6000
 
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x0A]] = True
@@ -89,16 +90,25 @@ def train(texts: list[str], marks: np.ndarray, prior: float, steps: int = 250, r
     """Maximise the noisy-or likelihood of document labels by Adam; ``prior``: share of toxic documents."""
     if not len(marks) or marks.min() == marks.max():
         return Model(np.zeros(1 << BITS), 0.0, float(prior))
-    parts = [_bags(d, o) for _, d, o in text_chunks(pa.array(texts, pa.string()), 1 << 62)]
-    feature, sentence, _, _, by = parts[0]
-    known, column = np.unique(feature, return_inverse=True)
+    features, sentences, counts, before = [], [], [], 0
+    for _, data, offs in text_chunks(pa.array(texts, pa.string())):
+        feature, sentence, _, _, by = _bags(data, offs)
+        features.append(feature.astype(np.int32))
+        sentences.append((sentence + before).astype(np.int32))
+        counts.append(np.diff(by))
+        before += int(by[-1])
+    by = np.append(0, np.cumsum(np.concatenate(counts)))
+    feature, sentence = np.concatenate(features), np.concatenate(sentences)
+    seen = np.bincount(feature, minlength=1 << BITS)
+    known = np.flatnonzero(seen >= 3)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[known] = np.arange(len(known))
+    column = place[feature]
+    column, sentence = column[column >= 0], sentence[column >= 0]
     # the sample holds both labels in other shares than the corpus: weight its rows back
     weight = np.where(marks == 1, prior / marks.mean(), (1 - prior) / (1 - marks.mean()))
     n, doc = by[-1], np.repeat(np.arange(len(marks)), np.diff(by))
     w, b = np.zeros(len(known)), -5.0
-    seen = np.bincount(column)
-    used = (seen >= 3)[column]
-    column, sentence = column[used], sentence[used]
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(sentence, w[column], n), -30, 30)))
@@ -121,12 +131,22 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
     share = usable.agg(F.avg("toxic")).first()[0] or 0.0
     chosen = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     wanted = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_label pairs of integers
-    rows = documents.select("doc_id", F.substring("text", 1, chars).alias("text")).join(wanted, "doc_id").orderBy("doc_id", "text").limit(4 * per_label).collect()
-    return train([r.text or "" for r in rows], np.array([r.toxic for r in rows]), share)
+    rows = documents.select("doc_id", F.substring("text", 1, chars).alias("text")).join(wanted, "doc_id").orderBy("doc_id", "text").limit(4 * per_label)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = pd.concat(whole) if (whole := list(frames)) else pd.DataFrame({"text": [], "toxic": []})
+        model = train([x or "" for x in sample.text], sample.toxic.to_numpy(dtype=np.int64), share)
+        yield pd.DataFrame({"weights": [model.weights.astype(np.float32).tobytes()], "bias": [model.bias], "constant": [model.constant]})
+
+    # the sample is bounded, so one task can train on it; the driver only sees the weights
+    row = rows.select("text", "toxic").coalesce(1).mapInPandas(run, "weights binary, bias double, constant double").first()
+    if row is None:
+        return Model(np.zeros(1 << BITS), 0.0, share)
+    return Model(np.frombuffer(row.weights, np.float32), row.bias, None if row.constant is None or row.constant != row.constant else row.constant)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``documents`` plus score, and offending: structs (start, end, p) in bytes of the
+    """All columns of ``documents`` but score and offending, plus score, and offending: structs (start, end, p) in bytes of the
     sentences with p >= 0.5, or of the likeliest one."""
     keep = [c for c in documents.columns if c not in ("score", "offending")]
     schema = documents.select(*keep).schema.add("score", "double").add("offending", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("p", "double")))
