@@ -5,6 +5,7 @@ from __future__ import annotations
 
 class Spark:
     name = "spark"
+    once = ""
 
     @staticmethod
     def div(a: str, b: str) -> str:
@@ -54,6 +55,7 @@ class Spark:
 
 class Duck:
     name = "duck"
+    once = "materialized "
 
     @staticmethod
     def div(a: str, b: str) -> str:
