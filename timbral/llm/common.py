@@ -7,18 +7,27 @@ cost per word is a few NumPy passes rather than a Python call.  Hashes are 64 bi
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch: texts are long, and a batch is held several times over.
+BATCH_ROWS = 2000
+#: Arrays of all tasks are merged so many at a time.
+FAN = 64
+#: Bits of the filters that keep most unwanted rows from being shuffled.
+BITMAP_BITS = 23
 #: Text is handled in pieces of about this many bytes, which bounds the temporary arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -144,14 +153,58 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of long texts small, unless the session asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def gather(pieces: DataFrame, tasks: int, merge: np.ufunc, dtype: str) -> np.ndarray:
+    """Merge the arrays of all tasks, which come in pieces (piece, task, counts); the result has a fixed size."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = reduce(merge, (np.frombuffer(x, dtype) for x in table.column("counts").to_pylist()))
+        return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
+
+    while tasks > 1:  # in levels, so that no merge gathers more than FAN pieces
+        pieces = pieces.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInArrow(add, "piece int, task bigint, counts binary")
+        tasks = math.ceil(tasks / FAN)
+    return np.concatenate([np.frombuffer(r.counts, dtype) for r in sorted(pieces.collect(), key=lambda r: r.piece)])
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A packed bitmap of fixed size with the bits of all keys (bigint) set: what it does not hold is not among
+    the keys.  A full one lets everything through, so it may only come before an exact join."""
+    n, parts = 1 << BITMAP_BITS, 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(n - 1)] = True
+        packed = np.split(np.packbits(bits), parts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * parts, pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], ["piece", "task", "counts"])
+
+    tasks = keys.rdd.getNumPartitions()
+    return gather(keys.mapInArrow(run, "piece int, task bigint, counts binary"), tasks, np.bitwise_or, "u1")
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (int64) a bitmap may hold."""
+    at = keys.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components of an edge table by alternating large-star and small-star steps.
 

@@ -4,14 +4,14 @@ which also starts somewhere else.
 1. Parse.  A rolling hash of TRIGGER bytes runs over each text.  A trigger is the least hash among the
    places of a 200-byte window, so every window has exactly one, fixed by its content alone, and none is
    without.  The starts that share a trigger are one phrase: their windows together are its bytes.
-2. Dictionary.  Phrases are known by the hash of their trigger and of their bytes.  Phrases whose trigger
-   occurs once in the corpus hold no repeated window and leave here.  Of a phrase that occurs twice or
-   more, all windows are repeated.
+2. Dictionary.  Phrases are known by the hashes of their trigger and of their bytes.  A trigger that occurs
+   once in the corpus has no repeated window.  Of a phrase that occurs twice or more, all windows are
+   repeated.
 3. Suffixes.  What is left are windows in phrases that differ but share a trigger: the edges of repeated
-   passages.  One occurrence of each such dictionary phrase gives all its suffixes, cut at 200 bytes.  In
-   corpus order (any total order of the 200-byte prefixes; here the order of their hashes, by which they
-   are shuffled and sorted) repeated suffixes are neighbours, so a suffix with an equal one at another
-   place is repeated.
+   passages.  The bytes of each such dictionary phrase are read once, and all its suffixes, cut at 200
+   bytes, are put in order (of their hashes, as any total order will do) with those of the other phrases of
+   the trigger: suffixes that have an equal neighbour are repeated.  Where a trigger has very many phrases,
+   the suffixes are dealt out over tasks by their hashes instead.
 4. The repeated starts of a text become spans, and the spans are cut out.
 
 Only the equality of suffixes up to 200 bytes decides, so neither the rest of the suffixes nor their
@@ -34,10 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prefix_hash, read, stash, substring_hash, text_chunks
+from .common import bitmap, in_bitmap, mix, prefix_hash, read, stash, substring_hash, text_chunks
 
 LENGTH = 200
 TRIGGER = 48
+#: Phrases of one trigger up to this many are compared in one task, those of the others across tasks.
+FEW = 128
 
 
 def _window_min(values: np.ndarray, m: int) -> np.ndarray:
@@ -80,8 +82,10 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"))
 
 
-def _occurrences(keyed: DataFrame, length: int, trigger: int) -> DataFrame:
-    """ah, sh, k1, k2, s, len of every phrase; a task tells of a text twice at most, which is as good as often."""
+def _occurrences(keyed: DataFrame, length: int, trigger: int, only: DataFrame | None = None) -> DataFrame:
+    """ah, sh, k1, k2, s, len of every phrase, or of those whose ah may be among ``only``; a task tells of a
+    text twice at most, which is as good as often."""
+    shared = None if only is None else keyed.sparkSession.sparkContext.broadcast(bitmap(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
@@ -96,45 +100,150 @@ def _occurrences(keyed: DataFrame, length: int, trigger: int) -> DataFrame:
                     seen[k] = seen.get(k, 0) + 1
                     keep[i] = seen[k] <= 2
                 use = keep[text]
+                if shared is not None:
+                    use &= in_bitmap(shared.value, ah.view(np.int64))
                 text, begin = text[use], begin[use]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah[use].view(np.int64), sh[use].view(np.int64), keys[0][row + text], keys[1][row + text], begin - offs[text], count[use])], ["ah", "sh", "k1", "k2", "s", "len"])
 
     return keyed.select("text", "__k1", "__k2").mapInArrow(run, "ah bigint, sh bigint, k1 bigint, k2 bigint, s bigint, len bigint")
 
 
-def _suffixes(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """h, k1, k2, s: hash and place of the 200-byte suffixes of the needed phrases."""
-    wanted = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "len")).alias("spans"))  # bounded by a text's length
+def _dictionary_bytes(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
+    """ah, m, k1, k2, s, bytes of the needed phrases, read from their texts."""
+    shared = keyed.sparkSession.sparkContext.broadcast(bitmap(need.select("k1")))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("k1").to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last = ["ah", "m", "k1", "k2", "s", "bytes"], None
         for batch in batches:
-            last = None
-            for i, (k1, k2, spans) in enumerate(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+            out: list[list] = [[] for _ in names]
+            for text, k1, k2, found in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "found")), strict=True):
                 if (k1, k2) == last:
-                    continue
-                last = (k1, k2)
-                for _, data, _ in text_chunks(batch.column("text").slice(i, 1)):
-                    at = np.concatenate([np.arange(x["s"], x["s"] + x["len"]) for x in spans])
-                    h = substring_hash(prefix_hash(data), at, at + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2)), pa.array(at)], ["h", "k1", "k2", "s"])
+                    continue  # a copy
+                last, raw = (k1, k2), text.encode()
+                for x in found:
+                    for to, v in zip(out, (x["ah"], x["m"], k1, k2, x["s"], raw[x["s"] : x["s"] + x["len"] - 1 + length]), strict=True):
+                        to.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:5]), pa.array(out[5], pa.binary())], names)
+
+    wanted = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "m", "s", "len")).alias("found"))  # bounded by a text's length
+    texts = keyed.select("text", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
+    texts = texts.mapInArrow(likely, texts.schema).join(wanted, ["k1", "k2"])
+    return texts.mapInArrow(run, "ah bigint, m bigint, k1 bigint, k2 bigint, s bigint, bytes binary")
+
+
+def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the phrase, hash) of all suffixes, cut at ``length``, of a batch of phrases."""
+    rows, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for row, data, offs in text_chunks(batch.column("bytes")):
+        n = np.diff(offs) - length + 1
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.repeat(offs[:-1], n) + at
+        rows.append(row + np.repeat(np.arange(len(n)), n))
+        places.append(at)
+        hashes.append(substring_hash(prefix_hash(data), begin, begin + length))
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches that are sorted by a key, cut so that no key goes on after a cut."""
+    rest: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if b.num_rows):
+        values = batch.column(key).to_numpy()
+        change = np.flatnonzero(values[1:] != values[:-1])
+        last = rest[-1].column(key)[-1].as_py() if rest else values[0]
+        at = int(change[-1]) + 1 if len(change) else 0 if last != values[0] else -1
+        if at >= 0 and (rest or at):
+            yield pa.Table.from_batches([*rest, batch.slice(0, at)]).combine_chunks().to_batches()[0]
+            rest = []
+        rest.append(batch.slice(max(at, 0)))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+_RUNS = "k1 bigint, k2 bigint, found array<struct<s:bigint,len:bigint>>"
+
+
+def _runs(k1: np.ndarray, k2: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """A row for each text with the runs of its starts."""
+    order = np.lexsort((s, k2, k1))
+    k1, k2, s = k1[order], k2[order], s[order]
+    text = np.ones(len(s), bool)
+    text[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    run = text.copy()
+    run[1:] |= np.diff(s) > 1
+    first = np.flatnonzero(run)
+    length = np.append(s[first[1:] - 1], s[-1:]) - s[first] + 1
+    at = np.append(np.flatnonzero(text[first]), len(first)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(s[first]), pa.array(length)], ["s", "len"]))
+    return pa.RecordBatch.from_arrays([pa.array(k1[text]), pa.array(k2[text]), lists], ["k1", "k2", "found"])
+
+
+def _neighbours(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Indices of the suffixes that have an equal one (by hash) at another place; one place may come twice."""
+    order = np.lexsort((s, k2, k1, h))
+    first = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else order
+    last = np.append(first[1:], len(h)) - 1
+    a, b = order[first], order[last]
+    other = (k1[a] != k1[b]) | (k2[a] != k2[b]) | (s[a] != s[b])
+    return order[np.repeat(other, last - first + 1)]
+
+
+def _few(pieces: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated starts in phrases whose triggers have few phrases, which meet in one task a trigger.
+    There the suffixes are put in order, and equal neighbours are repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "ah"):
+            row, place, h = _suffixes(batch, length)
+            k1, k2, s = (batch.column(c).to_numpy()[row] for c in ("k1", "k2", "s"))
+            hit = _neighbours(h, k1, k2, s + place)
+            yield _runs(k1[hit], k2[hit], (s + place)[hit])
+
+    return pieces.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, _RUNS)
+
+
+def _many(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for triggers with many phrases: their suffixes are dealt out by their hashes, to one more group
+    for every FEW phrases."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, h = _suffixes(batch, length)
+            k1, k2, s, ah, m = (batch.column(c).to_numpy()[row] for c in ("k1", "k2", "s", "ah", "m"))
+            group = (ah.view(np.uint64) + mix(h % (-(-m // FEW)).astype(np.uint64))).view(np.int64)
+            order = np.argsort(group, kind="stable")
+            g = group[order]
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else order
+            at = pa.array(np.append(first, len(g)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(g[first]), *(pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (h.view(np.int64), k1, k2, s + place))], ["g", "h", "k1", "k2", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "g"):
+            h, k1, k2, s = (batch.column(c).flatten().to_numpy() for c in ("h", "k1", "k2", "s"))
+            hit = _neighbours(h.view(np.uint64), k1, k2, s)
+            yield _runs(k1[hit], k2[hit], s[hit])
 
-    texts = keyed.select("text", F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).join(wanted, ["k1", "k2"])
-    return texts.mapInArrow(run, "h bigint, k1 bigint, k2 bigint, s bigint")
+    dealt = pieces.mapInArrow(deal, "g bigint, h array<bigint>, k1 array<bigint>, k2 array<bigint>, s array<bigint>")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, _RUNS)
 
 
 def repeated(keyed: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """k1, k2, found: for each text with repeated windows, structs (s, len) of runs of their starts."""
-    every = _occurrences(keyed, length, trigger)
-    twice = every.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah")
-    some = stash(every.join(twice, "ah"), "occurrences")
-    dictionary = stash(some.groupBy("ah", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "s", "len")).alias("one")), "dictionary")
-    whole = some.join(dictionary.filter("c > 1").select("ah", "sh"), ["ah", "sh"]).select("k1", "k2", "s", "len")
-    mixed = dictionary.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah")
-    suffixes = stash(_suffixes(keyed, dictionary.join(mixed, "ah").select("one.*"), length), "suffixes")
-    place = F.xxhash64("k1", "k2", "s")
-    again = suffixes.groupBy("h").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).filter("p0 <> p1").select("h")
-    single = suffixes.join(again, "h").select("k1", "k2", "s", F.lit(1).cast("long").alias("len"))
-    return whole.unionByName(single).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "len")).alias("found"))
+    counts = _occurrences(keyed, length, trigger).groupBy("ah").agg(F.count("*").alias("c"), F.min("sh").alias("s0"), F.max("sh").alias("s1"))
+    twice = stash(counts.filter("c > 1").select("ah", (F.col("s0") != F.col("s1")).alias("mixed")), "triggers")
+    some = stash(_occurrences(keyed, length, trigger, twice.select("ah")).join(twice, "ah"), "occurrences")
+    dictionary = stash(some.filter("mixed").groupBy("ah", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "s", "len")).alias("one")), "dictionary")
+    whole = some.filter("not mixed").unionByName(some.filter("mixed").join(dictionary.filter("c > 1").select("ah", "sh"), ["ah", "sh"]).select(*some.columns))
+    sizes = dictionary.groupBy("ah").agg(F.count("*").alias("m"))
+    need = stash(dictionary.join(sizes, "ah").select("ah", "m", "one.*"), "need")
+    pieces = stash(_dictionary_bytes(keyed, need, length), "phrases")
+    few, many = _few(pieces.filter(F.col("m") <= FEW), length), _many(pieces.filter(F.col("m") > FEW), length)
+    whole = whole.select("k1", "k2", "s", "len").distinct().select("k1", "k2", F.array(F.struct("s", "len")).alias("found"))
+    return whole.unionByName(few).unionByName(many).groupBy("k1", "k2").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
 def _merge(found: list[dict], length: int) -> list[tuple[int, int]]:
@@ -161,7 +270,7 @@ def spans(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, cut = [], []
-            for found, text in zip(batch.column("found").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for found, text in zip(batch.column("__found").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 text, at, rest = text or b"", 0, []
                 cut.append([{"start": a, "end": b} for a, b in _merge(found, length)] if found else [])
                 for x in cut[-1]:
@@ -170,7 +279,8 @@ def spans(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
                 kept.append(b"".join([*rest, text[at:]]) if rest else text)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(kept, pa.binary()), pa.array(cut, arrow_pair)], [*keep, "kept", "spans"])
 
-    joined = keyed.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*keep, "found")
+    found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("found").alias("__found"))
+    joined = keyed.join(found, ["__k1", "__k2"], "left").select(*keep, "__found")
     return joined.mapInArrow(run, schema)
 
 
