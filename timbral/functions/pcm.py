@@ -42,7 +42,11 @@ def interleave(channels: Column) -> Column:
 def deinterleave(samples: Column, channels: int) -> Column:
     """One array of whole frames to an array of channel arrays."""
     whole = F.when(F.size(samples) % channels == 0, samples).otherwise(F.raise_error(F.lit("samples are not whole frames")))
-    return F.array(*(F.filter(whole, lambda _, i, c=c: i % channels == c) for c in range(channels)))
+
+    def channel(c: int) -> Column:
+        return F.filter(whole, lambda _, i: i % channels == c)
+
+    return F.array(*map(channel, range(channels)))
 
 
 def resize(samples: Column, frames: int) -> Column:
