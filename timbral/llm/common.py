@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -170,17 +170,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def gather(pieces: DataFrame, tasks: int, merge: np.ufunc, dtype: str) -> np.ndarray:
-    """Merge the arrays of all tasks, which come in pieces (piece, task, counts); the result has a fixed size."""
+def gather(pieces: DataFrame, tasks: int, merge: Callable, pack: Callable, unpack: Callable) -> np.ndarray:
+    """Merge the arrays of all tasks, which come in packed pieces (piece, task, counts); the result has a fixed size."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = reduce(merge, (np.frombuffer(x, dtype) for x in table.column("counts").to_pylist()))
-        return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
+        total = reduce(merge, map(unpack, table.column("counts").to_pylist()))
+        return table.slice(0, 1).set_column(2, "counts", pa.array([pack(total)], pa.binary()))
 
     while tasks > 1:  # in levels, so that no merge gathers more than FAN pieces
         pieces = pieces.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInArrow(add, "piece int, task bigint, counts binary")
         tasks = math.ceil(tasks / FAN)
-    return np.concatenate([np.frombuffer(r.counts, dtype) for r in sorted(pieces.collect(), key=lambda r: r.piece)])
+    return np.concatenate([unpack(r.counts) for r in sorted(pieces.collect(), key=lambda r: r.piece)])
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -196,7 +196,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * parts, pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], ["piece", "task", "counts"])
 
     tasks = keys.rdd.getNumPartitions()
-    return gather(keys.mapInArrow(run, "piece int, task bigint, counts binary"), tasks, np.bitwise_or, "u1")
+    return gather(keys.mapInArrow(run, "piece int, task bigint, counts binary"), tasks, np.bitwise_or, np.ndarray.tobytes, lambda x: np.frombuffer(x, np.uint8))
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

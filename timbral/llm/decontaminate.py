@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` stores the postings of the training tokens, partitioned by document: one row for
-a block of about two megabytes of text, holding for each term its sorted word positions.  A test
+a block of about a megabyte of text, holding for each term its sorted word positions.  A test
 phrase is looked up from its rarest term in the block: the postings of the term, shifted by its
 offset in the phrase, are intersected with the shifted postings of the next rarest term and so on,
 until no start is left or all terms agree.  No posting is shuffled, so a term or document that

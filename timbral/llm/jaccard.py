@@ -4,7 +4,7 @@ Two documents link when |A & B| / |A | B| is at least a threshold given in perce
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets are one node from here on, known by a
    128-bit digest, so copies never meet each other.
-2. All shingles of the corpus are counted in a sketch of fixed size, and a set is ordered rarest first
+2. All shingles of the corpus are counted in a sketch of bounded size, and a set is ordered rarest first
    by these counts.  Any common order gives right results; a good one makes short posting lists.
 3. The first n - ceil(t n) + 1 shingles of a set are its prefix; two sets that link share one of these.
 4. Round one compares the sets that share a prefix shingle with one pivot of the shingle and length
@@ -12,8 +12,8 @@ Two documents link when |A & B| / |A | B| is at least a threshold given in perce
    Each pair is verified once on its whole sets, and linked sets are joined to components.
 5. Round two compares every pair that shares a prefix shingle and is not yet in one component, if it
    passes the length filter, the positional filter (places left behind the shared shingle) and the
-   suffix filter (sets are cut into 16 hash ranges; the sizes must not differ by more than the sets
-   may).  So no link between components is lost, and pairs inside them are never listed.
+   suffix filter (sets are cut into hash classes, first coarse and then fine ones; the sizes must not
+   differ by more than the sets may).  So no link between components is lost, and pairs inside them are never listed.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z.  A document of fewer words than a shingle has its whole
 sequence as one; null, empty or blank text has the empty set, links with nothing and is its own
@@ -25,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,15 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, components, new_path, read, sequence_hash, shingle_hashes, stash, text_chunks, words
+from .common import SPACE_WORDS, bitmap, components, gather, in_bitmap, new_path, read, sequence_hash, shingle_hashes, stash, text_chunks, words
 
-#: Counts of the sketch: 2 ** SKETCH_BITS, 4 MB in a task and 1 MB as classes on the executors, at any input size.
-SKETCH_BITS = 20
-#: The sketch goes from the tasks to the sums in pieces of 2 ** PIECE_BITS counts, added FAN tasks at a time.
-PIECE_BITS = 14
-FAN = 64
-#: Hash ranges of the suffix filter, packed four to a long.
-RANGES = 16
+#: The sketch has a count for every COUNT_BYTES of text, between two powers of two: at most 16 MB as bytes.
+COUNT_BYTES, LEAST_BITS, MOST_BITS = 64, 18, 24
+#: It goes from the tasks to the sums in so many compressed pieces.
+PIECES = 64
+#: Longs with fifteen counts each, for the suffix filter: hash classes told apart in the join, and in its pairs.
+COARSE, FINE = 6, 20
+#: Pivots that the shingles of a group choose between.
+PIVOTS = 4
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -59,58 +61,74 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield sequence_hash(h[a:b]) if b > a else s[:0]
 
 
+def _sizes(s: np.ndarray, longs: int) -> np.ndarray:
+    """How many shingles fall in each of 15 * longs hash classes, modulo 8, four bits each and 15 to a long."""
+    n = np.bincount((s % np.uint64(15 * longs)).astype(np.int64), minlength=15 * longs) & 7
+    return (n.reshape(longs, 15) << np.arange(0, 60, 4)).sum(axis=1)
+
+
 def _digest(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)
+
+
+def _add_full(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the classes of counts: each count is kept as a byte, and from 255 on it stays there."""
+    return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
+
+
 def summaries(documents: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """One pass over all texts: the table (doc_id, key, n, node), key a hash of the text, and the summed sketch."""
     spark, path = documents.sparkSession, new_path(documents.sparkSession, "summaries")
-    size, piece = 1 << SKETCH_BITS, 1 << PIECE_BITS
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((total // COUNT_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "n", "node", "piece", "task", "counts"]
-        sketch, last = np.zeros(size, np.int64), []
+        sketch, last = np.zeros(1 << bits, np.uint8), []
+
+        def put() -> None:
+            """Add the gathered shingles; a count stays at 255."""
+            if last:
+                at, more = np.unique(np.concatenate(last), return_counts=True)
+                sketch[at] = np.minimum(sketch[at] + more, 255)
+                last.clear()
+
         for batch in batches:
             n, node = [], []
             for s in _sets(batch.column("text"), k):
                 n.append(len(s))
                 node.append(_digest(s) if len(s) else None)
-                last.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                last.append((s >> np.uint64(64 - bits)).astype(np.int32))
                 if len(last) >= 2000:
-                    sketch += np.bincount(np.concatenate(last), minlength=size)
-                    last = []
+                    put()
             none = [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], names)
-        if last:
-            sketch += np.bincount(np.concatenate(last), minlength=size)
-        parts = [p.astype("<i8").tobytes() for p in np.split(sketch, size // piece)]
-        none = [None] * len(parts)
-        yield pa.RecordBatch.from_arrays([*[pa.array(none, pa.int64())] * 3, pa.array(none, pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names)
+        put()
+        parts = [_packed(p) for p in np.split(sketch, PIECES)]
+        none = [None] * PIECES
+        yield pa.RecordBatch.from_arrays([*[pa.array(none, pa.int64())] * 3, pa.array(none, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId()] * PIECES, pa.int64()), pa.array(parts, pa.binary())], names)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, node binary, piece int, task bigint, counts binary").write.parquet(path)
     both = spark.read.parquet(path)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
-        return table.slice(0, 1).set_column(2, "counts", pa.array([total.astype("<i8").tobytes()], pa.binary()))
-
-    sketch, tasks = both.filter("piece is not null").select("piece", "task", "counts"), docs.rdd.getNumPartitions()
-    while tasks > 1:  # in levels, so that no sum gathers more than FAN pieces
-        sketch = sketch.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInArrow(add, "piece int, task bigint, counts binary")
-        tasks = math.ceil(tasks / FAN)
-    counts = np.zeros(size, np.int64)
-    for r in sketch.collect():  # a fixed number of rows
-        counts[r.piece * piece : (r.piece + 1) * piece] += np.frombuffer(r.counts, "<i8")
+    counts = gather(both.filter("piece is not null").select("piece", "task", "counts"), docs.rdd.getNumPartitions(), _add_full, _packed, _unpacked)
     return both.filter("n is not null").select("doc_id", "key", "n", "node"), counts
 
 
 def _prefixes(documents: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """node, n, sig (sizes in 16 hash ranges), prefix and key (of one text) of the distinct sets of each task."""
-    # doubling classes are a coarse but common order; inside a class the hash decides
-    rank = np.minimum(np.ceil(4 * np.log2(counts + 1)), 255).astype(np.uint8)
-    shared = documents.sparkSession.sparkContext.broadcast(rank)
+    """node, n, sig and fine (sizes in hash classes), prefix and key (of one text) of the distinct sets of each task."""
+    # inside a count the hash decides, so the order is the same everywhere
+    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    bits = len(counts).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = shared.value, set()
@@ -121,30 +139,40 @@ def _prefixes(documents: DataFrame, k: int, percent: int, counts: np.ndarray) ->
                 if not n or (node := _digest(s)) in seen:
                     continue
                 seen.add(node)
-                order = np.argsort(rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                sizes = np.minimum(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 32767)
-                sig = (sizes.reshape(-1, 4) << np.array([0, 16, 32, 48])).sum(axis=1)
-                rows.append((i, node, n, sig, s[order[: n - -(-n * percent // 100) + 1]].view(np.int64)))
+                order = np.argsort(rank[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+                rows.append((i, node, n, _sizes(s, COARSE), _sizes(s, FINE), s[order[: n - -(-n * percent // 100) + 1]].view(np.int64)))
             if rows:
-                at, node, n, sig, prefix = zip(*rows, strict=True)
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (sig, prefix)]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(n, pa.int64()), *lists, batch.column("key").take(pa.array(at))], ["node", "n", "sig", "prefix", "key"])
+                at, node, n, sig, fine, prefix = zip(*rows, strict=True)
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (sig, fine, prefix)]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(n, pa.int64()), *lists, batch.column("key").take(pa.array(at))], ["node", "n", "sig", "fine", "prefix", "key"])
 
-    return documents.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "node binary, n bigint, sig array<bigint>, prefix array<bigint>, key bigint")
+    return documents.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "node binary, n bigint, sig array<bigint>, fine array<bigint>, prefix array<bigint>, key bigint")
 
 
-def _whole_sets(documents: DataFrame, k: int) -> DataFrame:
-    """node and set of the distinct sets of each task."""
+def _whole_sets(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """node and set of the texts that have a wanted key (node, key); a node may come twice.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The texts are read again, as their sets take more space than they do.  A bitmap of the keys passes over
+    most other texts before they are shuffled, and the join is exact."""
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap(wanted.select("key")))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            rows = [s for s in _sets(batch.column("text"), k) if len(s) and (d := _digest(s)) not in seen and not seen.add(d)]
-            if rows:
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in rows], pa.binary()), lists], ["node", "set"])
+            keys = batch.column("key").to_numpy()
+            use = [i for i in np.flatnonzero(in_bitmap(shared.value, keys)).tolist() if keys[i] not in seen and not seen.add(keys[i])]
+            yield batch.take(pa.array(use, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for s in _sets(batch.column("text"), k) if len(s)]
+            if sets:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), lists], ["node", "set"])
 
-    return documents.select("text").mapInArrow(run, "node binary, set array<bigint>")
+    texts = documents.select("text", F.xxhash64("text").alias("key"))
+    texts = texts.mapInArrow(likely, texts.schema).join(wanted.select("key"), "key", "left_semi")
+    return texts.select("text").mapInArrow(run, "node binary, set array<bigint>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,49 +183,106 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _range_difference(a: str, b: str) -> Column:
-    """Sum over the hash ranges of how far the two sets' sizes differ."""
-    part = lambda c, i: F.shiftrightunsigned(F.col(c)[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0x7FFF))
-    return reduce(Column.__add__, [F.abs(part(a, i) - part(b, i)) for i in range(RANGES)])
+def _size_difference(a: str, b: str, longs: int) -> Column:
+    """Sum over the hash classes of how far the two sets' sizes are apart on a ring of 8, by arithmetic on fifteen
+    classes at once: no more than the sets' symmetric difference."""
+    high, ones, threes = 0x888888888888888, 0x111111111111111, 0x333333333333333
+    low, bytes_ = 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF
+    total = []
+    for i in range(longs):
+        d = F.col(a)[i].bitwiseOR(F.lit(high)) - F.col(b)[i]  # each four bits: 8 + a - b
+        far = F.shiftrightunsigned(d, 2).bitwiseAND(F.lit(ones))  # the difference modulo 8 is 4 or more
+        apart = d.bitwiseAND(F.lit(threes)).bitwiseXOR(F.shiftleft(far, 1).bitwiseOR(far)) + far
+        total.append(apart.bitwiseAND(F.lit(low)) + F.shiftrightunsigned(apart, 4).bitwiseAND(F.lit(low)))
+    sums = reduce(Column.__add__, total)  # bytes of at most 8 * longs
+    sums = sums.bitwiseAND(F.lit(bytes_)) + F.shiftrightunsigned(sums, 8).bitwiseAND(F.lit(bytes_))
+    return reduce(Column.__add__, [F.shiftrightunsigned(sums, k).bitwiseAND(F.lit(0xFFFF)) for k in (0, 16, 32, 48)])
+
+
+def _postings(prefixes: DataFrame, grams: DataFrame) -> DataFrame:
+    """node, n, pos, gram of every prefix shingle that may be among ``grams``."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(bitmap(grams))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            offs, gram = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            at = offs[0] + np.flatnonzero(in_bitmap(shared.value, gram[offs[0] : offs[-1]]))
+            row = np.searchsorted(offs, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array((at - offs[row]).astype(np.int32)), pa.array(gram[at])], ["node", "n", "pos", "gram"])
+
+    return prefixes.select("node", "n", "prefix").mapInArrow(run, "node binary, n bigint, pos int, gram bigint")
+
+
+def _need(n: Column, percent: int) -> Column:
+    """The least intersection of two linked sets whose sizes add up to n."""
+    return F.ceil(n * percent / F.lit(100.0 + percent) - F.lit(1e-6))
+
+
+def _may_link(percent: int) -> Column:
+    """Length and positional filter of postings (n1, pos1) and (n2, pos2) of one shingle."""
+    long_enough = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    return long_enough & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= _need(F.col("n1") + F.col("n2"), percent))
+
+
+def _checked(documents: DataFrame, marks: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """The pairs that link, written.  Pairs that pass the finer suffix filter are verified on the whole sets,
+    which are made for this."""
+    one, two = (marks.select(F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("fine").alias(f"fine{i}")) for i, x in ((1, "a"), (2, "b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
+            x, y = (batch.column(c).flatten().to_numpy().reshape(-1, FINE, 1) >> np.arange(0, 60, 4) & 7 for c in ("fine1", "fine2"))
+            ring = (x - y) & 7
+            apart = np.minimum(ring, 8 - ring).sum(axis=(1, 2))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= n - 2 * np.ceil(n * percent / (100.0 + percent) - 1e-6)))
+
+    left = stash(pairs.join(one, "a").join(two, "b").mapInArrow(run, "a binary, b binary"), "pairs")
+    ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stash(marks.join(ends, "node", "left_semi").select("node", "key"), "wanted")
+    return stash(_verify(left, stash(_whole_sets(documents, k, wanted), "sets"), percent), name)
+
+
+def _pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each posting with the pivot of its shingle and length class, if they may link.  The pivot is
+    the first in one of PIVOTS random orders of the nodes, so the shingles of a group choose few pivots."""
+    rank = F.xxhash64("node", F.pmod("gram", F.lit(PIVOTS)))
+    heads = shared.groupBy("gram", "class").agg(F.min(F.struct(rank.alias("rank"), "n", "node", "pos")).alias("h"))
+    # a set links within its length class or the next
+    heads = heads.select("gram", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), *(F.col(f"h.{c}").alias(f"{c}1") for c in ("node", "n", "pos")))
+    others = shared.select("gram", "class", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos")))
+    near = others.join(heads, ["gram", "class"]).filter((F.col("node1") != F.col("node2")) & _may_link(percent))
+    return near.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def links(documents: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
     """(node, root) of all nodes that link with another; root is the component's least node."""
     each = _prefixes(documents, k, percent, counts)
     prefixes = stash(each.groupBy("node").agg(*(F.first(c).alias(c) for c in each.columns[1:])), "prefixes")
-    postings = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    many = postings.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    grams = prefixes.select(F.explode("prefix").alias("gram"))
+    many = stash(grams.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "grams")
+    postings = _postings(prefixes, many)
     # sizes of one class differ by less than the threshold allows, so a set links within its class or the next
     step = math.log(100 / percent) if percent < 100 else 1e-9
     shared = stash(postings.join(many, "gram").withColumn("class", F.floor(F.log("n") / F.lit(step)).cast("long")), "postings")
 
-    pivots = shared.groupBy("gram", "class").agg(F.min(F.struct("n", "node")).alias("head"))
-    pivots = pivots.select("gram", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("head.node").alias("pivot"), F.col("head.n").alias("pn"))
-    near = shared.join(pivots, ["gram", "class"]).filter("node <> pivot and 100 * least(n, pn) >= " + str(percent) + " * greatest(n, pn)")
-    first = stash(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs1")
-
-    # the whole sets of the nodes that share a prefix shingle with another, once each
-    wanted = stash(shared.select("node").distinct().join(prefixes.select("node", "key", "sig"), "node"), "wanted")
-    texts = documents.select("text", F.xxhash64("text").alias("key")).join(wanted.select("key"), "key", "left_semi")
-    sets = _whole_sets(texts, k).join(wanted.select("node"), "node", "left_semi")
-    sets = stash(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
-    good = stash(_verify(first, sets, percent), "links1")
-    roots = stash(components(good, "a", "b"), "roots1")
-
-    info = wanted.join(roots, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("root"))
-    placed = shared.select("gram", "node", "n", "pos").join(info, "node")
+    marks = stash(shared.select("node").distinct().join(prefixes.select("node", "n", "key", "sig", "fine"), "node"), "marks")
+    good = _checked(documents, marks, _pivot_pairs(shared, percent), k, percent, "links1")
+    roots = stash(components(good, "a", "b"), "roots")
+    placed = shared.select("gram", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     # grams all of whose sets are in one component by now have nothing to add
+    placed = stash(placed, "placed")
     mixed = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
-    placed = stash(placed.join(mixed, "gram", "left_semi"), "placed")
+    placed = placed.join(mixed, "gram", "left_semi").join(marks.select("node", "sig"), "node")
     x, y = (placed.select(*(F.col(c).alias(f"{c}{i}") for c in placed.columns)) for i in (1, 2))
-    need = F.ceil((F.col("n1") + F.col("n2")) * percent / F.lit(100.0 + percent) - F.lit(1e-6))
-    rest = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    n = F.col("n1") + F.col("n2")
     condition = (
         (F.col("gram1") == F.col("gram2")) & (F.col("root1") != F.col("root2")) & ((F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
-        & (100 * F.col("n1") >= percent * F.col("n2")) & (rest >= need) & (_range_difference("sig1", "sig2") <= F.col("n1") + F.col("n2") - 2 * need)
+        & _may_link(percent) & (_size_difference("sig1", "sig2", COARSE) <= n - 2 * _need(n, percent))
     )
     second = x.join(y, condition).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    more = stash(_verify(stash(second, "pairs2"), sets, percent), "links2")
+    more = _checked(documents, marks, second, k, percent, "links2")
     return components(good.unionByName(more), "a", "b")
 
 
