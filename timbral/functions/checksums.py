@@ -14,7 +14,7 @@ POLYNOMIALS = {8: 0x07, 16: 0x8005, 32: 0x04C11DB7}
 
 
 @cache
-def _table(bits: int) -> tuple[int, ...]:
+def crc_table(bits: int) -> tuple[int, ...]:
     """The effect of each top byte on a register of this width."""
     poly, top, full = POLYNOMIALS[bits], 1 << (bits - 1), (1 << bits) - 1
     out = []
@@ -27,7 +27,7 @@ def _table(bits: int) -> tuple[int, ...]:
 
 
 def crc(data: bytes, bits: int, start: int = 0) -> int:
-    table, shift, full = _table(bits), bits - 8, (1 << bits) - 1
+    table, shift, full = crc_table(bits), bits - 8, (1 << bits) - 1
     r = start
     for b in data:
         r = (r << 8 & full) ^ table[r >> shift ^ b]

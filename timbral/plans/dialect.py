@@ -35,14 +35,16 @@ class Spark:
 
     @staticmethod
     def fold_bytes(text: str, start: str, step: str) -> str:
-        """Fold ``step`` (of state c and byte b) over the first 32 bytes of a text."""
-        codes = f"transform(sequence(1, length(substring(encode({text}, 'utf-8'), 1, 32))), p -> cast(conv(hex(substring(encode({text}, 'utf-8'), p, 1)), 16, 10) as bigint))"
-        return f"aggregate({codes}, cast({start} as bigint), (c, b) -> {step})"
+        """Fold ``step`` (of state c and byte b) over all bytes of a text; the start value for an empty one."""
+        # bound to a name, the bytes are encoded once a text and not once a byte
+        byte = "cast(conv(hex(substring(t, p, 1)), 16, 10) as bigint)"
+        places = "case when octet_length(t) > 0 then sequence(1, octet_length(t)) when t is not null then cast(array() as array<int>) end"
+        return f"transform(array(encode({text}, 'utf-8')), t -> aggregate(transform({places}, p -> {byte}), cast({start} as bigint), (c, b) -> {step}))[0]"
 
     @staticmethod
-    def repeat_fold(count: int, start: str, step: str) -> str:
-        """Fold ``step`` (of state e) ``count`` times over a start value."""
-        return f"aggregate(sequence(1, {count}), {start}, (e, j) -> {step})"
+    def pick(values: list[int], at: str) -> str:
+        """The value at a place, counted from 0, of fixed ones."""
+        return f"array({', '.join(f'{v}L' for v in values)})[cast({at} as int)]"
 
     @staticmethod
     def md5_joined(item: str, order: str) -> str:
@@ -83,14 +85,13 @@ class Duck:
 
     @staticmethod
     def fold_bytes(text: str, start: str, step: str) -> str:
-        # pairs of hex digits of the first 32 bytes
-        h = f"substring(hex(encode({text})), 1, 64)"
-        codes = f"list_transform(range(1, length({h}) + 1, 2), lambda p: cast(('0x' || substring({h}, p, 2)) as bigint))"
+        # pairs of hex digits, cut in one pass
+        codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: cast(('0x' || p) as bigint))"
         return f"list_reduce({codes}, lambda c, b: {step}, cast({start} as bigint))"
 
     @staticmethod
-    def repeat_fold(count: int, start: str, step: str) -> str:
-        return f"list_reduce(range(1, {count} + 1), lambda e, j: {step}, {start})"
+    def pick(values: list[int], at: str) -> str:
+        return f"cast([{', '.join(map(str, values))}][{at} + 1] as bigint)"
 
     @staticmethod
     def md5_joined(item: str, order: str) -> str:
