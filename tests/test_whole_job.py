@@ -42,3 +42,13 @@ def brute_crc(data: bytes, poly: int, bits: int) -> int:
 def test_checksums_fold_every_byte(answers, name, poly, bits):
     texts = ["", "a", "x" * 32, "x" * 32 + "y", "x" * 32 + "z", "x" * 31 + "éß日本", "lorem ipsum " * 400]
     assert answers(name, texts) == [(i, brute_crc(t.encode(), poly, bits)) for i, t in enumerate(texts)]
+
+
+def test_floor_neighbors_take_every_place(answers):
+    xs = [(37 * n * n + 11 * n) % 1000 for n in range(60)]
+    places, want = [], []
+    for i, x in enumerate(v % 128 for v in xs):
+        if x not in places:
+            places.append(x)
+            want.append((7, i, x, max((p for p in places if p < x), default=None), min((p for p in places if p > x), default=None)))
+    assert len(want) > 12 and answers("floor_neighbors", samples=[(7, x) for x in xs]) == want

@@ -3,7 +3,7 @@
 Views: ``sig`` (stream, i, x) are the values of a user's events in order, as integers; ``blk`` are its whole
 blocks of 16 samples with the place p inside; ``stereo`` pairs the streams 2s and 2s + 1; ``vec`` are the
 components of the embeddings; ``curve`` are the places of a floor curve, the distinct values mod 128 of a
-stream's first samples.  Windows are partitioned by stream, joins are on stream and place, so the
+stream's samples, each at its first one.  Windows are partitioned by stream, joins are on stream and place, so the
 plans shuffle on the stream key only.
 """
 
@@ -33,7 +33,7 @@ def views(d) -> str:
     return f"""with sig as {d.once}(select user_id as stream, {b("row_number() over (partition by user_id order by event_id)")} - 1 as i, {b("round(value * 100)")} as x from events),
 blk as {d.once}(select stream, {d.div("i", str(BLOCK))} as block, i % {BLOCK} as p, x from (select *, count(*) over (partition by stream, {d.div("i", str(BLOCK))}) as n from sig) where n = {BLOCK}),
 stereo as {d.once}(select {d.div("a.stream", "2")} as stream, a.i as i, a.x as l, b.x as r from sig a join sig b on b.stream = a.stream + 1 and b.i = a.i where a.stream % 2 = 0),
-curve as {d.once}(select stream, min(i) as i, x from (select stream, i, x % 128 as x from sig where abs(i) < 12) q group by stream, x),
+curve as {d.once}(select stream, min(i) as i, x from (select stream, i, x % 128 as x from sig) q group by stream, x),
 vec as ({vec})
 """
 
@@ -383,8 +383,8 @@ def huffman_flat_lengths(d):
 @_named
 def floor_neighbors(d):
     """Nearest smaller and larger place among those that come earlier."""
-    return f"""select a.stream, a.i, a.x, max(case when x2 < a.x then x2 end) as low, min(case when x2 > a.x then x2 end) as high
-    from curve a join (select stream as s2, i as i2, x % 128 as x2 from sig where abs(i) < 12) b on a.stream = s2 and i2 <= a.i group by a.stream, a.i, a.x"""
+    return f"""select a.stream, a.i, a.x, max(case when b.x < a.x then b.x end) as low, min(case when b.x > a.x then b.x end) as high
+    from curve a join curve b on a.stream = b.stream and b.i <= a.i group by a.stream, a.i, a.x"""
 
 
 @_named
