@@ -1,7 +1,7 @@
 """Named queries over signal views of the tables, each written once for both SQL dialects.
 
-Views: ``sig`` (stream, i, x) are the values of a user's events in order, as integers; ``blk`` are its whole
-blocks of 16 samples with the place p inside; ``stereo`` pairs the streams 2s and 2s + 1; ``vec`` are the
+Views: ``sig`` (stream, i, x) are the values of a user's events in order, as integers; ``blk`` are its
+blocks of 16 samples, the last one of a stream as short as it comes, with the place p inside and the length n; ``stereo`` pairs the streams 2s and 2s + 1; ``vec`` are the
 components of the embeddings; ``curve`` are the places of a floor curve, the distinct values mod 128 of a
 stream's samples, each at its first one.  Windows are partitioned by stream, joins are on stream and place, so the
 plans shuffle on the stream key only.
@@ -31,7 +31,7 @@ def views(d) -> str:
     array = "posexplode(embedding)" if d.name == "spark" else None
     vec = f"select vec_id, j, cast(v as double) as v from (select vec_id, {array} as (j, v) from embeddings)" if array else "select vec_id, j - 1 as j, cast(embedding[j] as double) as v from embeddings cross join unnest(generate_series(1, 64)) t(j)"
     return f"""with sig as {d.once}(select user_id as stream, {b("row_number() over (partition by user_id order by event_id)")} - 1 as i, {b("round(value * 100)")} as x from events),
-blk as {d.once}(select stream, {d.div("i", str(BLOCK))} as block, i % {BLOCK} as p, x from (select *, count(*) over (partition by stream, {d.div("i", str(BLOCK))}) as n from sig) where n = {BLOCK}),
+blk as {d.once}(select stream, {d.div("i", str(BLOCK))} as block, i % {BLOCK} as p, x, count(*) over (partition by stream, {d.div("i", str(BLOCK))}) as n from sig),
 stereo as {d.once}(select {d.div("a.stream", "2")} as stream, a.i as i, a.x as l, b.x as r from sig a join sig b on b.stream = a.stream + 1 and b.i = a.i where a.stream % 2 = 0),
 curve as {d.once}(select stream, min(i) as i, x from (select stream, i, x % 128 as x from sig) q group by stream, x),
 vec as ({vec})
@@ -98,8 +98,8 @@ def escape_width(d):
 
 
 def _parts(d) -> str:
-    """Residuals (here the centred samples) of each partition of each partition order 0 to 3."""
-    return f"select stream, block, po, {d.div('p', d.shr(str(BLOCK), 'po'))} as part, x - 25000 as r from blk{d.series('0', '3', 'pos', 'po')}"
+    """Residuals (here the centred samples) of each partition of each partition order 0 to 3 that divides the block."""
+    return f"select stream, block, po, {d.div('p', d.shr('n', 'po'))} as part, x - 25000 as r from blk{d.series('0', '3', 'pos', 'po')} where n % {d.shl('1', 'po')} = 0"
 
 
 def _plans(d) -> str:
@@ -133,8 +133,8 @@ def best_fixed_order(d):
 
 @_named
 def subframe_kind(d):
-    return f"""select b.stream, b.block, case when lo = hi then 'constant' when cost < {BLOCK * DEPTH} then 'fixed' else 'verbatim' end as kind
-    from (select stream, block, min(x) as lo, max(x) as hi from blk group by stream, block) b
+    return f"""select b.stream, b.block, case when lo = hi then 'constant' when cost < n * {DEPTH} then 'fixed' else 'verbatim' end as kind
+    from (select stream, block, min(x) as lo, max(x) as hi, count(*) as n from blk group by stream, block) b
     join (select stream, block, min(cost) as cost from ({_fixed(d)}) q group by stream, block) f on b.stream = f.stream and b.block = f.block"""
 
 
@@ -286,8 +286,8 @@ def hole_runs(d):
 @_named
 def granule_trim(d):
     """Samples that stay of each block when a stream's granule says that it ends 5 samples early."""
-    return f"""select stream, block, greatest(0, least({BLOCK}, last - {BLOCK} * block)) as kept from
-    (select distinct stream, block, max({BLOCK} * (block + 1)) over (partition by stream) - 5 as last from blk) q"""
+    return f"""select stream, block, greatest(0, least(n, last - {BLOCK} * block)) as kept from
+    (select distinct stream, block, n, max({BLOCK} * block + n) over (partition by stream) - 5 as last from blk) q"""
 
 
 def _crc_query(bits: int) -> Callable:
@@ -390,8 +390,8 @@ def floor_neighbors(d):
 @_named
 def render_point(d):
     """Height of the line between the outer samples of each block, truncated, at each place."""
-    return f"""select stream, block, p, y0 + case when y1 < y0 then -{d.div("(y0 - y1) * p", str(BLOCK - 1))} else {d.div("(y1 - y0) * p", str(BLOCK - 1))} end as y from
-    (select stream, block, p, first_value(x) over (partition by stream, block order by p) as y0, last_value(x) over (partition by stream, block order by p rows between unbounded preceding and unbounded following) as y1 from blk) q"""
+    return f"""select stream, block, p, y0 + case when y1 < y0 then -{d.div("(y0 - y1) * p", "greatest(n - 1, 1)")} else {d.div("(y1 - y0) * p", "greatest(n - 1, 1)")} end as y from
+    (select stream, block, p, n, first_value(x) over (partition by stream, block order by p) as y0, last_value(x) over (partition by stream, block order by p rows between unbounded preceding and unbounded following) as y1 from blk) q"""
 
 
 @_named
