@@ -5,7 +5,8 @@ distinct words and word beginnings), the document gets the noisy-or 1 - prod(1 -
 document labels alone, so the model learns which sentences are to blame and can point at them.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z; sentences end at `.`, `!`,
-`?` or a line feed.  Scoring reads whole texts of all rows; only the fit uses a bounded sample.
+`?` or a line feed.  Scoring reads whole texts of all rows; only the fit uses a bounded sample of rows, and whole
+texts of these.
 
 Null or empty text is one sentence without words, so its score is the bias alone.  Repeated rows
 get equal scores.  Rows of ``labels`` without a doc_id or a mark, or without a document, teach
@@ -17,11 +18,10 @@ the same names.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +33,10 @@ from .common import _LOWER, ALNUM_WORDS, prefix_hash, read, substring_hash, text
 STEM = 5
 #: Words are hashed to this many weights: the model is one megabyte at any input size.
 BITS = 18
-#: The fit takes at most so many labelled documents of either label (least crc32 first) ...
-SAMPLE_PER_LABEL = 2000
-#: ... and reads so many code points of each at most, which bounds the driver's memory.
-SAMPLE_CHARS = 6000
+#: The fit takes at most so many labelled documents of either label (least hash first), each with its whole text.
+SAMPLE_PER_LABEL = 3000
+#: A training step goes through so many features at a time, which bounds its temporary arrays.
+PIECE = 1 << 21
 
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x0A]] = True
@@ -86,36 +86,48 @@ def _noisy_or(p: np.ndarray, by: np.ndarray) -> np.ndarray:
     return -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), by[:-1]))
 
 
-def train(texts: list[str], marks: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, ridge: float = 0.05) -> Model:
-    """Maximise the noisy-or likelihood of document labels by Adam; ``prior``: share of toxic documents."""
+def train(batches: Iterable[tuple[pa.Array, np.ndarray]], prior: float, steps: int = 250, rate: float = 0.1, ridge: float = 0.05) -> Model:
+    """Maximise the noisy-or likelihood of document labels by Adam; ``batches``: texts and their labels, of which only
+    the bags are kept; ``prior``: share of toxic documents."""
+    features, sentences, counts, labels, before = [], [], [], [], 0
+    for texts, own in batches:
+        labels.append(own)
+        for _, data, offs in text_chunks(texts):
+            feature, sentence, _, _, by = _bags(data, offs)
+            features.append(feature.astype(np.int32))
+            sentences.append((sentence + before).astype(np.int32))
+            counts.append(np.diff(by))
+            before += int(by[-1])
+    marks = np.concatenate(labels) if labels else np.zeros(0, np.int64)
     if not len(marks) or marks.min() == marks.max():
         return Model(np.zeros(1 << BITS), 0.0, float(prior))
-    features, sentences, counts, before = [], [], [], 0
-    for _, data, offs in text_chunks(pa.array(texts, pa.string())):
-        feature, sentence, _, _, by = _bags(data, offs)
-        features.append(feature.astype(np.int32))
-        sentences.append((sentence + before).astype(np.int32))
-        counts.append(np.diff(by))
-        before += int(by[-1])
     by = np.append(0, np.cumsum(np.concatenate(counts)))
     feature, sentence = np.concatenate(features), np.concatenate(sentences)
+    del features, sentences
     seen = np.bincount(feature, minlength=1 << BITS)
     known = np.flatnonzero(seen >= 3)
     place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
     column = place[feature]
     column, sentence = column[column >= 0], sentence[column >= 0]
+    del feature
+    pieces = [(column[at : at + PIECE], sentence[at : at + PIECE]) for at in range(0, len(column), PIECE)]
     # the sample holds both labels in other shares than the corpus: weight its rows back
     weight = np.where(marks == 1, prior / marks.mean(), (1 - prior) / (1 - marks.mean()))
     n, doc = by[-1], np.repeat(np.arange(len(marks)), np.diff(by))
     w, b = np.zeros(len(known)), -5.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(sentence, w[column], n), -30, 30)))
+        z = np.full(n, b)
+        for col, sen in pieces:
+            z += np.bincount(sen, w[col], n)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         whole = np.maximum(_noisy_or(p, by), 1e-9)
         slope = np.where(marks == 1, (1 - whole) / whole, -1.0) * weight
         dz = p * slope[doc]
-        g = np.append(np.bincount(column, dz[sentence], len(known)) - ridge * w, dz.sum())
+        g = np.append(-ridge * w, dz.sum())
+        for col, sen in pieces:
+            g[:-1] += np.bincount(col, dz[sen], len(known))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w + step[:-1], b + step[-1]
@@ -124,22 +136,21 @@ def train(texts: list[str], marks: np.ndarray, prior: float, steps: int = 250, r
     return Model(weights, float(b))
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS) -> Model:
-    """Train on at most ``per_label`` documents of either label; all labels count for the toxic share."""
+def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
+    """Train on whole texts of at most ``per_label`` documents of either label; all labels count for the toxic share."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(crc % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = usable.agg(F.avg("toxic")).first()[0] or 0.0
     chosen = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     wanted = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_label pairs of integers
-    rows = documents.select("doc_id", F.substring("text", 1, chars).alias("text")).join(wanted, "doc_id").orderBy("doc_id", "text").limit(4 * per_label)
+    rows = documents.select("doc_id", "text").join(wanted, "doc_id").orderBy("doc_id", "text").limit(4 * per_label)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat(whole) if (whole := list(frames)) else pd.DataFrame({"text": [], "toxic": []})
-        model = train([x or "" for x in sample.text], sample.toxic.to_numpy(dtype=np.int64), share)
-        yield pd.DataFrame({"weights": [model.weights.astype(np.float32).tobytes()], "bias": [model.bias], "constant": [model.constant]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = train(((batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)) for batch in batches), share)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias], pa.float64()), pa.array([model.constant], pa.float64())], ["weights", "bias", "constant"])
 
     # the sample is bounded, so one task can train on it; the driver only sees the weights
-    row = rows.select("text", "toxic").coalesce(1).mapInPandas(run, "weights binary, bias double, constant double").first()
+    row = rows.select("text", "toxic").coalesce(1).mapInArrow(run, "weights binary, bias double, constant double").first()
     if row is None:
         return Model(np.zeros(1 << BITS), 0.0, share)
     return Model(np.frombuffer(row.weights, np.float32), row.bias, None if row.constant is None or row.constant != row.constant else row.constant)
