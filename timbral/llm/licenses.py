@@ -2,9 +2,9 @@
 
 The words of the licence templates get their document frequency from the whole corpus.  Of each
 template, the words of highest IDF become keys of an index that holds the template and the word's
-relative position.  A file's key words are looked up there; each occurrence proposes the place
-where the template would start, and places on which the template's keys agree are aligned word by
-word.  A label is given where the IDF-weighted share of agreeing words reaches ``ACCEPT`` and the
+relative position: so many that the words left out weigh less than ``ACCEPT`` in sum.  A file's key words are
+looked up there; each occurrence proposes the place where the template would start, and every such place is
+aligned word by word, so none that can be accepted is missed.  A label is given where the IDF-weighted share of agreeing words reaches ``ACCEPT`` and the
 mandatory phrase stands inside the aligned words.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  Null or empty text has no words,
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_WORDS, read, text_chunks, words
 
-#: Key words of each template in the index.
-KEYS = 4
 #: IDF-weighted share of a template's words that must agree.
 ACCEPT = 0.75
 
@@ -97,7 +95,7 @@ def document_frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[
 
 
 def build_index(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> list[dict]:
-    """For each template its word hashes, IDF weights, key words with relative positions, mandatory phrase and label."""
+    """For each template its word hashes, IDF weights, mandatory phrase and label."""
     each = [_hashes(t.text) for t in templates]
     vocabulary = np.unique(np.concatenate(each))
     n, df = document_frequencies(documents, vocabulary)
@@ -105,13 +103,20 @@ def build_index(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATE
     out = []
     for t, h in zip(templates, each, strict=True):
         weight = idf[np.searchsorted(vocabulary, h)]
-        out.append({"label": t.label, "words": h, "weight": weight / weight.sum(), "keys": np.argsort(-weight, kind="stable")[: min(KEYS, len(h))], "mandatory": _hashes(t.mandatory)})
+        out.append({"label": t.label, "words": h, "weight": weight / weight.sum(), "mandatory": _hashes(t.mandatory)})
     return out
 
 
+def _keys(weight: np.ndarray, accept: float) -> np.ndarray:
+    """Positions of the heaviest words, as few as leave less than ``accept`` to the others."""
+    order = np.argsort(-weight, kind="stable")
+    left = 1 - np.cumsum(weight[order])
+    return order[: int(np.count_nonzero(left >= accept - 1e-9)) + 1]
+
+
 def scan(documents: DataFrame, index: list[dict], accept: float = ACCEPT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of the licences found."""
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+    shared = documents.sparkSession.sparkContext.broadcast([t | {"keys": _keys(t["weight"], accept)} for t in index])
     base = [(_hashes(p), label) for p, label in BASE.items()]
     ddl = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,start:int,length:int,share:double>>"
 
@@ -128,33 +133,34 @@ def scan(documents: DataFrame, index: list[dict], accept: float = ACCEPT) -> Dat
                         x["base"].append(int(at))
                         x["base_labels"].add(label)
                         x["score"] = 1.0
+                best = np.zeros(len(by) - 1)
                 for t in shared.value:
-                    k = len(t["words"])
-                    starts = [np.flatnonzero(h == t["words"][j]) - j for j in t["keys"]]
-                    place, votes = np.unique(np.concatenate(starts), return_counts=True)
-                    for at in place[2 * votes >= len(t["keys"])]:
-                        i = np.arange(at, at + k)
-                        key = next(at + j for j in t["keys"] if 0 <= at + j < len(h) and h[at + j] == t["words"][j])
-                        doc = int(np.searchsorted(by, key, "right")) - 1
-                        inside = (i >= by[doc]) & (i < by[doc + 1])
-                        same = np.zeros(k, bool)
-                        same[inside] = h[i[inside]] == t["words"][inside]
-                        share = min(1.0, float(t["weight"][same].sum()))
-                        x = own(key)
-                        low, high = max(at, by[doc]), min(at + k, by[doc + 1])
-                        if share >= accept and len(_places(h[low:high], t["mandatory"], np.array([0, high - low]))):
-                            x["labels"].add(t["label"])
-                            x["spans"].append({"label": t["label"], "start": int(low - by[doc]), "length": int(high - low), "share": share})
-                            x["score"] = max(x["score"], share)
-                        else:
-                            x["score"] = max(x["score"], share * accept)
+                    k, docs = len(t["words"]), len(by) - 1
+                    hits = [(np.flatnonzero(h == t["words"][j]), j) for j in t["keys"]]
+                    # a place may reach into two documents: each that holds a key is aligned by itself
+                    pairs = np.unique(np.concatenate([(at - j + k) * docs + np.searchsorted(by, at, "right") - 1 for at, j in hits]))
+                    for part in np.array_split(pairs, len(pairs) * k // (1 << 20) + 1):
+                        place, doc = part // docs - k, part % docs
+                        i = place[:, None] + np.arange(k)
+                        inside = (i >= by[doc][:, None]) & (i < by[doc + 1][:, None])
+                        same = inside & (h[np.where(inside, i, 0)] == t["words"]) if len(part) else inside
+                        shares = np.minimum(1.0, same @ t["weight"])
+                        np.maximum.at(best, doc, shares * accept)
+                        for n in np.flatnonzero(shares >= accept):
+                            at, d, share = int(place[n]), int(doc[n]), float(shares[n])
+                            low, high = max(at, by[d]), min(at + k, by[d + 1])
+                            if len(_places(h[low:high], t["mandatory"], np.array([0, high - low]))):
+                                x = own(low)
+                                x["labels"].add(t["label"])
+                                x["spans"].append({"label": t["label"], "start": int(low - by[d]), "length": int(high - low), "share": share})
+                                x["score"] = max(x["score"], share)
                 for i in range(len(by) - 1):
                     x, n = found.get(i), int(by[i + 1] - by[i])
                     if x is None:
-                        rows.append((n, 0, None, None, "", "", 0.0, []))
+                        rows.append((n, 0, None, None, "", "", float(best[i]), []))
                     else:
                         b = x["base"]
-                        rows.append((n, len(b), min(b) - int(by[i]) if b else None, max(b) - int(by[i]) if b else None, ",".join(sorted(x["base_labels"])), ",".join(sorted(x["labels"] | x["base_labels"])), x["score"], sorted(x["spans"], key=lambda s: (s["start"], s["label"]))))
+                        rows.append((n, len(b), min(b) - int(by[i]) if b else None, max(b) - int(by[i]) if b else None, ",".join(sorted(x["base_labels"])), ",".join(sorted(x["labels"] | x["base_labels"])), max(x["score"], float(best[i])), sorted(x["spans"], key=lambda s: (s["start"], s["label"]))))
             c = list(zip(*rows, strict=True)) or [[]] * 8
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("share", pa.float64())]))]
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
