@@ -10,11 +10,11 @@ from timbral import plans
 def answers(spark, tmp_path):
     """Rows of a query over small tables, in Spark and of its SQL in DuckDB, which must be the same."""
 
-    def run(name, texts=(), samples=()):
+    def run(name, texts=(), samples=(), vectors=()):
         rows = {
             "documents": ([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"),
             "events": ([(n, s, x / 100) for n, (s, x) in enumerate(samples)], "event_id bigint, user_id bigint, value double"),
-            "embeddings": ([], "vec_id bigint, embedding array<float>"),
+            "embeddings": (list(enumerate(vectors)), "vec_id bigint, embedding array<float>"),
             "pages": ([], "page_id bigint, url string, html string"),
         }
         con = duckdb.connect()
@@ -150,3 +150,9 @@ def test_overlap_add_adds_short_blocks(answers):
 def test_granule_trim_ends_by_the_true_length(answers):
     want = [(s, n, max(0, min(len(b), len(xs) - 5 - 16 * n))) for s, xs in STREAMS.items() for n, b in enumerate(blocks(xs))]
     assert sum(k for s, _, k in want if s == 2) == 61 and answers("granule_trim", samples=SAMPLES) == sorted(want)
+
+
+def test_band_energy_covers_every_component(answers):
+    rows = answers("band_energy", vectors=[[3.0] * 64, [0.0] * 60 + [1.0, 2.0, 2.0, 4.0]])
+    assert abs(sum(amp * amp for v, _, amp in rows if v == 0) - 9 * 64) < 1e-2
+    assert [(band, amp) for v, band, amp in rows if v == 1 and amp > 0] == [(19, 5.0)]

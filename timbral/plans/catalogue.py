@@ -427,8 +427,8 @@ def pvq_bits(d):
 
 @_named
 def band_energy(d):
-    """Energy of the bands that cover the 64 components of each vector."""
-    bands = " union all ".join(f"select {i} as band, {a} as lo, {b} as hi" for i, (a, b) in enumerate(zip(BAND_EDGES[:-1], BAND_EDGES[1:], strict=True)) if b <= 64)
+    """Energy of the bands that cover the 64 components of each vector; the last band ends with them."""
+    bands = " union all ".join(f"select {i} as band, {a} as lo, {min(b, 64)} as hi" for i, (a, b) in enumerate(zip(BAND_EDGES[:-1], BAND_EDGES[1:], strict=True)) if a < 64)
     return f"select vec_id, band, round(sqrt(sum(v * v) + 1e-27), 5) + 0.0 as amp from vec join ({bands}) b on j >= lo and j < hi group by vec_id, band"
 
 
