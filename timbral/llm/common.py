@@ -7,6 +7,7 @@ cost per word is a few NumPy passes rather than a Python call.  Hashes are 64 bi
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ FAN = 64
 BITMAP_BITS = 23
 #: Text is handled in pieces of about this many bytes, which bounds the temporary arrays.
 CHUNK_BYTES = 1 << 20
+#: Longer strings get a hash of another kind: of a polynomial modulo a power of two, equal pairs of 1,024 bytes are known.
+LONG = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,11 +78,19 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def substring_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the substrings [start, end); equal for equal bytes."""
+    """64-bit hashes of the substrings [start, end), of under 512 bytes each; equal for equal bytes."""
     _, down = _power_tables(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+def string_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings [start, end) of any length."""
+    h = substring_hash(prefix_hash(data), start, end)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return h
+
+
 def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, UTF-8 bytes, offsets) of runs of whole texts of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,13 +123,13 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndar
     first[edges] = inside[1:-1][edges]
     last[edges - 1] = inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, substring_hash(prefix_hash(low), starts, ends), np.searchsorted(starts, offs)
+    return starts, ends, string_hash(low, starts, ends), np.searchsorted(starts, offs)
 
 
 def word_hash(word: str) -> int:
     """The hash that ``words`` gives to this one word."""
     b = _LOWER[np.frombuffer(word.encode(), np.uint8)]
-    return int(substring_hash(prefix_hash(b), np.array([0]), np.array([len(b)]))[0])
+    return int(string_hash(b, np.array([0]), np.array([len(b)]))[0])
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -134,13 +146,47 @@ def sequence_hash(h: np.ndarray) -> np.ndarray:
     return shingle_hashes(h, len(h))
 
 
+# Workers and columns ------------------------------------------------------------------------
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives freed memory back when its task ends, as the worker lives on."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if _powers and len(_powers[0]) > 2 * CHUNK_BYTES:
+            _powers.clear()  # they were made for a very long text
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(columns: list[str], of: DataFrame | None = None) -> list[F.Column]:
+    """Columns by their exact names, dots and backticks included."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
+    return [F.col(c) if of is None else of[c] for c in quoted]
+
+
 # Shared folder ------------------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and all tasks
+    run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="timbral-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -170,8 +216,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def gather(pieces: DataFrame, tasks: int, merge: Callable, pack: Callable, unpack: Callable) -> np.ndarray:
-    """Merge the arrays of all tasks, which come in packed pieces (piece, task, counts); the result has a fixed size."""
+def gather(pieces: DataFrame, tasks: int, merge: Callable, pack: Callable, unpack: Callable, last: Callable) -> np.ndarray:
+    """Merge the arrays of all tasks, which come in packed pieces (piece, task, counts); the result, of the pieces as
+    ``last`` takes them, has a fixed size."""
 
     def add(table: pa.Table) -> pa.Table:
         total = reduce(merge, map(unpack, table.column("counts").to_pylist()))
@@ -180,29 +227,24 @@ def gather(pieces: DataFrame, tasks: int, merge: Callable, pack: Callable, unpac
     while tasks > 1:  # in levels, so that no merge gathers more than FAN pieces
         pieces = pieces.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInArrow(add, "piece int, task bigint, counts binary")
         tasks = math.ceil(tasks / FAN)
-    return np.concatenate([unpack(r.counts) for r in sorted(pieces.collect(), key=lambda r: r.piece)])
+    return np.concatenate([last(r.counts) for r in sorted(pieces.collect(), key=lambda r: r.piece)])  # a row a piece
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """A packed bitmap of fixed size with the bits of all keys (bigint) set: what it does not hold is not among
+    """A bitmap of fixed size, as longs, with the bits of all keys (bigint) set: what it does not hold is not among
     the keys.  A full one lets everything through, so it may only come before an exact join."""
-    n, parts = 1 << BITMAP_BITS, 16
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(n - 1)] = True
-        packed = np.split(np.packbits(bits), parts)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * parts, pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], ["piece", "task", "counts"])
-
-    tasks = keys.rdd.getNumPartitions()
-    return gather(keys.mapInArrow(run, "piece int, task bigint, counts binary"), tasks, np.bitwise_or, np.ndarray.tobytes, lambda x: np.frombuffer(x, np.uint8))
+    n = 1 << (BITMAP_BITS - 6)
+    key = named(keys.columns)[0]
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(key, {BITMAP_BITS - 6}) & 63 as int))")
+    longs = keys.select(key.alias("key")).groupBy(F.col("key").bitwiseAND(F.lit(n - 1)).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # n rows at most
+    out = np.zeros(n, np.int64)
+    out[longs.column("at").to_numpy()] = longs.column("bits").to_numpy()
+    return out
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys (int64) a bitmap may hold."""
-    at = keys.view(np.uint64) & np.uint64(8 * len(bits) - 1)
-    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    return bits[keys & (len(bits) - 1)] >> (keys >> (BITMAP_BITS - 6) & 63) & 1 == 1
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

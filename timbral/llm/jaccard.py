@@ -4,16 +4,17 @@ Two documents link when |A & B| / |A | B| is at least a threshold given in perce
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets are one node from here on, known by a
    128-bit digest, so copies never meet each other.
-2. All shingles of the corpus are counted in a sketch of bounded size, and a set is ordered rarest first
-   by these counts.  Any common order gives right results; a good one makes short posting lists.
+2. All shingles of the corpus are counted in a sketch of bounded size, on a scale that reaches 16 thousand million,
+   and a set is ordered rarest first by these counts.  Any common order gives right results; a good one makes short
+   posting lists.  In a corpus much larger than the sketch, shingles below the mean count of a cell look alike.
 3. The first n - ceil(t n) + 1 shingles of a set are its prefix; two sets that link share one of these.
 4. Round one compares the sets that share a prefix shingle with one pivot of the shingle and length
    class only: a number of pairs in proportion to the postings, also inside huge groups of near copies.
    Each pair is verified once on its whole sets, and linked sets are joined to components.
 5. Round two compares every pair that shares a prefix shingle and is not yet in one component, if it
-   passes the length filter, the positional filter (places left behind the shared shingle) and the
-   suffix filter (sets are cut into hash classes, first coarse and then fine ones; the sizes must not
-   differ by more than the sets may).  So no link between components is lost, and pairs inside them are never listed.
+   passes the length filter, the positional filter (places left behind the shared shingle) and a
+   suffix filter with fixed splits: sets are cut into hash classes, first few and then many, and no more classes may
+   have sizes of different parity than shingles may differ.  So no link between components is lost, and pairs inside them are never listed.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z.  A document of fewer words than a shingle has its whole
 sequence as one; null, empty or blank text has the empty set, links with nothing and is its own
@@ -36,14 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bitmap, components, gather, in_bitmap, new_path, read, sequence_hash, shingle_hashes, stash, text_chunks, words
+from .common import SPACE_WORDS, bitmap, components, free_name, gather, in_bitmap, lean, named, new_path, read, sequence_hash, shingle_hashes, stash, text_chunks, words
 
 #: The sketch has a count for every COUNT_BYTES of text, between two powers of two: at most 16 MB as bytes.
 COUNT_BYTES, LEAST_BITS, MOST_BITS = 64, 18, 24
 #: It goes from the tasks to the sums in so many compressed pieces.
 PIECES = 64
-#: Longs with fifteen counts each, for the suffix filter: hash classes told apart in the join, and in its pairs.
+#: Longs with the parities of 64 hash classes each, for the suffix filter: those told apart in the join, and in its pairs.
 COARSE, FINE = 6, 20
+#: Distinct keys that a task remembers, to pass over copies that it meets again.
+REMEMBER = 1 << 18
 #: Pivots that the shingles of a group choose between.
 PIVOTS = 4
 
@@ -61,29 +64,35 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield sequence_hash(h[a:b]) if b > a else s[:0]
 
 
-def _sizes(s: np.ndarray, longs: int) -> np.ndarray:
-    """How many shingles fall in each of 15 * longs hash classes, modulo 8, four bits each and 15 to a long."""
-    n = np.bincount((s % np.uint64(15 * longs)).astype(np.int64), minlength=15 * longs) & 7
-    return (n.reshape(longs, 15) << np.arange(0, 60, 4)).sum(axis=1)
+def _parities(s: np.ndarray, longs: int) -> np.ndarray:
+    """Whether an odd number of shingles falls in each of 64 * longs hash classes."""
+    n = np.bincount((s % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(n.astype(np.uint8)).view(np.int64)
 
 
 def _digest(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
+def _to_byte(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact below 16, then their exponent and three bits after the leading one, rounded down."""
+    more = np.maximum(np.frexp(n.astype(np.float64))[1] - 4, 0).astype(np.uint64)
+    return np.minimum(8 * more + (n.astype(np.uint64) >> more), 255).astype(np.uint8)
+
+
+def _from_byte(code: np.ndarray) -> np.ndarray:
+    more = np.maximum(code.astype(np.int64) // 8 - 1, 0)
+    return ((code - 8 * more) << more).astype(np.uint64)
+
+
 def _packed(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.tobytes(), 1)
+    return zlib.compress(_to_byte(counts).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
-def _add_full(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of the classes of counts: each count is kept as a byte, and from 255 on it stays there."""
-    return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
-
-
 def summaries(documents: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """One pass over all texts: the table (doc_id, key, n, node), key a hash of the text, and the summed sketch."""
     spark, path = documents.sparkSession, new_path(documents.sparkSession, "summaries")
@@ -92,13 +101,13 @@ def summaries(documents: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "n", "node", "piece", "task", "counts"]
-        sketch, last = np.zeros(1 << bits, np.uint8), []
+        sketch, last = np.zeros(1 << bits, np.uint16), []
 
         def put() -> None:
-            """Add the gathered shingles; a count stays at 255."""
+            """Add the gathered shingles; a count of one task stays at 65,535."""
             if last:
                 at, more = np.unique(np.concatenate(last), return_counts=True)
-                sketch[at] = np.minimum(sketch[at] + more, 255)
+                sketch[at] = np.minimum(sketch[at] + more, 65535)
                 last.clear()
 
         for batch in batches:
@@ -117,15 +126,17 @@ def summaries(documents: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([*[pa.array(none, pa.int64())] * 3, pa.array(none, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId()] * PIECES, pa.int64()), pa.array(parts, pa.binary())], names)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, node binary, piece int, task bigint, counts binary").write.parquet(path)
+    docs.mapInArrow(lean(run), "doc_id bigint, key bigint, n bigint, node binary, piece int, task bigint, counts binary").write.parquet(path)
     both = spark.read.parquet(path)
 
-    counts = gather(both.filter("piece is not null").select("piece", "task", "counts"), docs.rdd.getNumPartitions(), _add_full, _packed, _unpacked)
+    pieces = both.filter("piece is not null").select("piece", "task", "counts")
+    tasks = 1 + (pieces.agg(F.max("task")).first()[0] or 0)
+    counts = gather(pieces, tasks, np.add, _packed, lambda data: _from_byte(_unpacked(data)), _unpacked)
     return both.filter("n is not null").select("doc_id", "key", "n", "node"), counts
 
 
 def _prefixes(documents: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """node, n, sig and fine (sizes in hash classes), prefix and key (of one text) of the distinct sets of each task."""
+    """node, n, sig and fine (parities of hash classes), prefix and key (of one text) of the distinct sets of each task."""
     # inside a count the hash decides, so the order is the same everywhere
     shared = documents.sparkSession.sparkContext.broadcast(counts)
     bits = len(counts).bit_length() - 1
@@ -138,15 +149,17 @@ def _prefixes(documents: DataFrame, k: int, percent: int, counts: np.ndarray) ->
                 n = len(s)
                 if not n or (node := _digest(s)) in seen:
                     continue
+                if len(seen) >= REMEMBER:
+                    seen.clear()
                 seen.add(node)
                 order = np.argsort(rank[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-                rows.append((i, node, n, _sizes(s, COARSE), _sizes(s, FINE), s[order[: n - -(-n * percent // 100) + 1]].view(np.int64)))
+                rows.append((i, node, n, _parities(s, COARSE), _parities(s, FINE), s[order[: n - -(-n * percent // 100) + 1]].view(np.int64)))
             if rows:
                 at, node, n, sig, fine, prefix = zip(*rows, strict=True)
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (sig, fine, prefix)]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(n, pa.int64()), *lists, batch.column("key").take(pa.array(at))], ["node", "n", "sig", "fine", "prefix", "key"])
 
-    return documents.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "node binary, n bigint, sig array<bigint>, fine array<bigint>, prefix array<bigint>, key bigint")
+    return documents.select("text", F.xxhash64("text").alias("key")).mapInArrow(lean(run), "node binary, n bigint, sig array<bigint>, fine array<bigint>, prefix array<bigint>, key bigint")
 
 
 def _whole_sets(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -159,6 +172,8 @@ def _whole_sets(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
+            if len(seen) >= REMEMBER:
+                seen.clear()
             keys = batch.column("key").to_numpy()
             use = [i for i in np.flatnonzero(in_bitmap(shared.value, keys)).tolist() if keys[i] not in seen and not seen.add(keys[i])]
             yield batch.take(pa.array(use, pa.int64()))
@@ -171,8 +186,8 @@ def _whole_sets(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), lists], ["node", "set"])
 
     texts = documents.select("text", F.xxhash64("text").alias("key"))
-    texts = texts.mapInArrow(likely, texts.schema).join(wanted.select("key"), "key", "left_semi")
-    return texts.select("text").mapInArrow(run, "node binary, set array<bigint>")
+    texts = texts.mapInArrow(lean(likely), texts.schema).join(wanted.select("key"), "key", "left_semi")
+    return texts.select("text").mapInArrow(lean(run), "node binary, set array<bigint>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,20 +198,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _size_difference(a: str, b: str, longs: int) -> Column:
-    """Sum over the hash classes of how far the two sets' sizes are apart on a ring of 8, by arithmetic on fifteen
-    classes at once: no more than the sets' symmetric difference."""
-    high, ones, threes = 0x888888888888888, 0x111111111111111, 0x333333333333333
-    low, bytes_ = 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF
-    total = []
-    for i in range(longs):
-        d = F.col(a)[i].bitwiseOR(F.lit(high)) - F.col(b)[i]  # each four bits: 8 + a - b
-        far = F.shiftrightunsigned(d, 2).bitwiseAND(F.lit(ones))  # the difference modulo 8 is 4 or more
-        apart = d.bitwiseAND(F.lit(threes)).bitwiseXOR(F.shiftleft(far, 1).bitwiseOR(far)) + far
-        total.append(apart.bitwiseAND(F.lit(low)) + F.shiftrightunsigned(apart, 4).bitwiseAND(F.lit(low)))
-    sums = reduce(Column.__add__, total)  # bytes of at most 8 * longs
-    sums = sums.bitwiseAND(F.lit(bytes_)) + F.shiftrightunsigned(sums, 8).bitwiseAND(F.lit(bytes_))
-    return reduce(Column.__add__, [F.shiftrightunsigned(sums, k).bitwiseAND(F.lit(0xFFFF)) for k in (0, 16, 32, 48)])
+def _odd_classes(a: str, b: str, longs: int) -> Column:
+    """Hash classes in which two sets have sizes of different parity: no more than their symmetric difference."""
+    return reduce(Column.__add__, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)])
 
 
 def _postings(prefixes: DataFrame, grams: DataFrame) -> DataFrame:
@@ -211,7 +215,7 @@ def _postings(prefixes: DataFrame, grams: DataFrame) -> DataFrame:
             row = np.searchsorted(offs, at, "right") - 1
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array((at - offs[row]).astype(np.int32)), pa.array(gram[at])], ["node", "n", "pos", "gram"])
 
-    return prefixes.select("node", "n", "prefix").mapInArrow(run, "node binary, n bigint, pos int, gram bigint")
+    return prefixes.select("node", "n", "prefix").mapInArrow(lean(run), "node binary, n bigint, pos int, gram bigint")
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -229,16 +233,8 @@ def _checked(documents: DataFrame, marks: DataFrame, pairs: DataFrame, k: int, p
     """The pairs that link, written.  Pairs that pass the finer suffix filter are verified on the whole sets,
     which are made for this."""
     one, two = (marks.select(F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("fine").alias(f"fine{i}")) for i, x in ((1, "a"), (2, "b")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-            x, y = (batch.column(c).flatten().to_numpy().reshape(-1, FINE, 1) >> np.arange(0, 60, 4) & 7 for c in ("fine1", "fine2"))
-            ring = (x - y) & 7
-            apart = np.minimum(ring, 8 - ring).sum(axis=(1, 2))
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= n - 2 * np.ceil(n * percent / (100.0 + percent) - 1e-6)))
-
-    left = stash(pairs.join(one, "a").join(two, "b").mapInArrow(run, "a binary, b binary"), "pairs")
+    n = F.col("n1") + F.col("n2")
+    left = stash(pairs.join(one, "a").join(two, "b").filter(_odd_classes("fine1", "fine2", FINE) <= n - 2 * _need(n, percent)).select("a", "b"), "pairs")
     ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stash(marks.join(ends, "node", "left_semi").select("node", "key"), "wanted")
     return stash(_verify(left, stash(_whole_sets(documents, k, wanted), "sets"), percent), name)
@@ -279,7 +275,7 @@ def links(documents: DataFrame, k: int, percent: int, counts: np.ndarray) -> Dat
     n = F.col("n1") + F.col("n2")
     condition = (
         (F.col("gram1") == F.col("gram2")) & (F.col("root1") != F.col("root2")) & ((F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
-        & _may_link(percent) & (_size_difference("sig1", "sig2", COARSE) <= n - 2 * _need(n, percent))
+        & _may_link(percent) & (_odd_classes("sig1", "sig2", COARSE) <= n - 2 * _need(n, percent))
     )
     second = x.join(y, condition).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
     more = _checked(documents, marks, second, k, percent, "links2")
@@ -309,13 +305,13 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     blank = rows.filter("n = 0").select("doc_id", "key").distinct()
     times = rows.groupBy("doc_id", "key").agg(F.count("*").alias("c"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-    kept = least.join(times, same(least, times)).select(least["doc_id"].alias("__id"), least["key"].alias("__key"), (F.col("c") > 1).alias("__again"))
-    kept = stash(kept.unionByName(blank.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(False).alias("__again"))), "kept")
-    keyed = documents.withColumn("__text", F.xxhash64("text"))
-    found = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"]))
-    once = found.filter("not __again").select(*documents.columns)
+    id_, key, again = (free_name(documents, c) for c in ("__id", "__key", "__again"))
+    kept = least.join(times, same(least, times)).select(least["doc_id"].alias(id_), least["key"].alias(key), (F.col("c") > 1).alias(again))
+    kept = stash(kept.unionByName(blank.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.lit(False).alias(again))), "kept")
+    found = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)))
+    once = found.filter(~F.col(again)).select(*named(documents.columns))
     # rows that come again word for word under one id
-    return once.unionByName(found.filter("__again").dropDuplicates(["__id", "__key"]).select(*documents.columns))
+    return once.unionByName(found.filter(F.col(again)).dropDuplicates([id_, key]).select(*named(documents.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
