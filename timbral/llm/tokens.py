@@ -3,7 +3,8 @@
 ``Encoder`` gives exactly the ids of the ``tokenizers`` library for a byte-level BPE file, faster: the
 library encodes each piece of text between its split points by itself, so texts are split here with
 NumPy and the library is asked once for every distinct piece.  Texts with characters outside ASCII and
-Latin letters go to the library whole.  Special-token strings in a text are ordinary text.
+Latin letters, or with the string of a special token, go to the library whole, which gives such a string the id of
+that token.
 
 The token table is Parquet: doc_id, n_tokens, shard, shard_start (ids before the document in its file)
 and ids, a list column with dictionary encoding (or delta encoding on request), with row groups and
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, prefix_hash, read, substring_hash, text_chunks
+from .common import lean, new_path, read, string_hash, text_chunks
 
 END_ID = 0
 #: Distinct pieces that an encoder remembers before it starts anew.
@@ -88,9 +89,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        self.added = [t["content"].encode() for t in file.get("added_tokens") or []]
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
         self._forget()
@@ -124,7 +126,7 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         end = np.append(start[1:], len(data))
-        h, first, which = np.unique(substring_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        h, first, which = np.unique(string_hash(data, start, end), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
         new = self.known[place] != h if len(self.known) else np.ones(len(h), bool)
         if new.any():
@@ -139,12 +141,22 @@ class Encoder:
         ids = self.flat[np.repeat(at - ends + size, size) + np.arange(ends[-1])]
         return ids, np.append(0, ends)[np.searchsorted(start, offs)]
 
+    def _specials(self, data: np.ndarray) -> np.ndarray:
+        """Where the strings of added tokens begin."""
+        raw, found = data.tobytes(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, at + 1)
+        return np.array(found, np.int64)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text) of UTF-8 texts that follow each other."""
         odd = np.flatnonzero(~_PLAIN[data])
         signs = np.flatnonzero(data[:-1] == 0xC3)
-        odd = np.append(odd, signs[(data[signs + 1] == 0x97) | (data[signs + 1] == 0xB7)])
-        hard = np.unique(np.searchsorted(offs, odd, "right") - 1)
+        odd = np.concatenate([odd, signs[(data[signs + 1] == 0x97) | (data[signs + 1] == 0xB7)], self._specials(data)])
+        hard = np.unique(np.searchsorted(offs, odd, "right") - 1).astype(np.int64)
         if not len(hard):
             return self._plain(data, offs)
         easy = np.ones(len(offs) - 1, bool)
@@ -183,7 +195,7 @@ def encode(documents: DataFrame, path: str | None = None, end_id: int = END_ID)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), pa.array(np.diff(by)), pa.array(np.full(n, shard, np.int32)), pa.array(by[:-1] + before), pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "n_tokens", "shard", "shard_start", "ids"])
                 before += int(by[-1])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROWS)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _ROWS)
 
 
 def write(documents: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, encoding: str = "dictionary", row_group: int = 32 << 20, page: int = 256 << 10) -> None:
@@ -221,7 +233,7 @@ def with_crc32(table: DataFrame) -> DataFrame:
             offs = lists.offsets.to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), crc32s(lists.values.to_numpy()[offs[0] : offs[-1]], offs - offs[0])], [*keep, "ids_crc32"])
 
-    return table.mapInArrow(run, table.select(*keep, F.lit(0).cast("long").alias("ids_crc32")).schema)
+    return table.mapInArrow(lean(run), table.select(*keep, F.lit(0).cast("long").alias("ids_crc32")).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
