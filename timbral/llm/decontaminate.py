@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, read, stash, text_chunks, words
+from .common import ALNUM_WORDS, lean, read, stash, text_chunks, words
 
 WINDOW = 13
 #: Test phrases go to the executors in blocks of at most so many words (8 MB); each block is matched against the whole index.
@@ -94,7 +94,7 @@ def build_index(documents: DataFrame, terms: np.ndarray | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], schema=INDEX)
                 number += len(n)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX_DDL)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), INDEX_DDL)
 
 
 class Block:
@@ -181,7 +181,7 @@ def search(index: DataFrame, phrases: tuple[np.ndarray, np.ndarray, list], slop:
                 row = batch.column("row")[i].as_py() + np.arange(len(n))
                 yield pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(n.astype(np.int64)), lists], ["row", "doc_id", "n_words", "hits"])
 
-    return index.mapInArrow(run, MATCH_DDL)
+    return index.mapInArrow(lean(run), MATCH_DDL)
 
 
 def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, key: str = "doc_id") -> list[DataFrame]:
@@ -215,10 +215,10 @@ def report(found: list[DataFrame]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.int64()), pa.array(rest[2], pa.string()), pa.array(rest[3], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     if len(found) == 1:
-        return found[0].mapInArrow(run, ddl)
+        return found[0].mapInArrow(lean(run), ddl)
     # hits of several phrase blocks meet by the number of the document row
     whole = reduce(DataFrame.unionByName, found)
-    return whole.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits")).mapInArrow(run, ddl)
+    return whole.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits")).mapInArrow(lean(run), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, read, text_chunks, words
+from .common import ALNUM_WORDS, lean, read, text_chunks, words
 
 #: IDF-weighted share of a template's words that must agree.
 ACCEPT = 0.75
@@ -90,7 +90,7 @@ def document_frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[
                 df += np.bincount(np.unique(doc * len(vocabulary) + rank) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(vocabulary))], pa.int64()), pa.array([rows, *df.tolist()], pa.int64())], ["word", "df"])
 
-    counts = {r.word: r.df for r in documents.select("text").mapInArrow(run, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).collect()}
+    counts = {r.word: r.df for r in documents.select("text").mapInArrow(lean(run), "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).collect()}
     return counts.get(-1, 0), {k: v for k, v in counts.items() if k >= 0}
 
 
@@ -166,7 +166,7 @@ def scan(documents: DataFrame, index: list[dict], accept: float = ACCEPT) -> Dat
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(c, kinds, strict=True))], names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stash
+from .common import lean, read, stash
 
 SHARDS = 8
 #: Keys sampled for the boundaries, about; they go to the driver.
@@ -73,7 +73,7 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
                 key[c] = batch.column(c).to_numpy()
             yield batch.append_column("r", pa.array(np.searchsorted(cuts, key, "right").astype(np.int64)))
 
-    return rows.mapInArrow(run, rows.select("*", F.lit(0).cast("long").alias("r")).schema)
+    return rows.mapInArrow(lean(run), rows.select("*", F.lit(0).cast("long").alias("r")).schema)
 
 
 def _edges(keys: list[tuple[int, int, int]]) -> np.ndarray:

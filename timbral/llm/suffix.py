@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, in_bitmap, mix, prefix_hash, read, stash, substring_hash, text_chunks
+from .common import bitmap, in_bitmap, lean, mix, prefix_hash, read, stash, substring_hash, text_chunks
 
 LENGTH = 200
 TRIGGER = 48
@@ -105,7 +105,7 @@ def _occurrences(keyed: DataFrame, length: int, trigger: int, only: DataFrame |
                 text, begin = text[use], begin[use]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah[use].view(np.int64), sh[use].view(np.int64), keys[0][row + text], keys[1][row + text], begin - offs[text], count[use])], ["ah", "sh", "k1", "k2", "s", "len"])
 
-    return keyed.select("text", "__k1", "__k2").mapInArrow(run, "ah bigint, sh bigint, k1 bigint, k2 bigint, s bigint, len bigint")
+    return keyed.select("text", "__k1", "__k2").mapInArrow(lean(run), "ah bigint, sh bigint, k1 bigint, k2 bigint, s bigint, len bigint")
 
 
 def _dictionary_bytes(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
@@ -131,8 +131,8 @@ def _dictionary_bytes(keyed: DataFrame, need: DataFrame, length: int) -> DataFra
 
     wanted = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "m", "s", "len")).alias("found"))  # bounded by a text's length
     texts = keyed.select("text", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
-    texts = texts.mapInArrow(likely, texts.schema).join(wanted, ["k1", "k2"])
-    return texts.mapInArrow(run, "ah bigint, m bigint, k1 bigint, k2 bigint, s bigint, bytes binary")
+    texts = texts.mapInArrow(lean(likely), texts.schema).join(wanted, ["k1", "k2"])
+    return texts.mapInArrow(lean(run), "ah bigint, m bigint, k1 bigint, k2 bigint, s bigint, bytes binary")
 
 
 def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _few(pieces: DataFrame, length: int) -> DataFrame:
             hit = _neighbours(h, k1, k2, s + place)
             yield _runs(k1[hit], k2[hit], (s + place)[hit])
 
-    return pieces.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, _RUNS)
+    return pieces.repartition("ah").sortWithinPartitions("ah").mapInArrow(lean(run), _RUNS)
 
 
 def _many(pieces: DataFrame, length: int) -> DataFrame:
@@ -227,8 +227,8 @@ def _many(pieces: DataFrame, length: int) -> DataFrame:
             hit = _neighbours(h.view(np.uint64), k1, k2, s)
             yield _runs(k1[hit], k2[hit], s[hit])
 
-    dealt = pieces.mapInArrow(deal, "g bigint, h array<bigint>, k1 array<bigint>, k2 array<bigint>, s array<bigint>")
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, _RUNS)
+    dealt = pieces.mapInArrow(lean(deal), "g bigint, h array<bigint>, k1 array<bigint>, k2 array<bigint>, s array<bigint>")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), _RUNS)
 
 
 def repeated(keyed: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -281,7 +281,7 @@ def spans(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
 
     found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("found").alias("__found"))
     joined = keyed.join(found, ["__k1", "__k2"], "left").select(*keep, "__found")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def clean(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -296,7 +296,7 @@ def clean(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
             text = pa.array([kept.decode("utf-8", "ignore") if cut else old for old, kept, cut in rows], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in own], own)
 
-    out = spans(documents, length, trigger).mapInArrow(run, documents.schema)
+    out = spans(documents, length, trigger).mapInArrow(lean(run), documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in own else out
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _LOWER, ALNUM_WORDS, prefix_hash, read, substring_hash, text_chunks, words
+from .common import ALNUM_WORDS, _LOWER, lean, prefix_hash, read, substring_hash, text_chunks, words
 
 #: A sentence's features are its distinct words and their first bytes, for inflected and compound words.
 STEM = 5
@@ -150,7 +150,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias], pa.float64()), pa.array([model.constant], pa.float64())], ["weights", "bias", "constant"])
 
     # the sample is bounded, so one task can train on it; the driver only sees the weights
-    row = rows.select("text", "toxic").coalesce(1).mapInArrow(run, "weights binary, bias double, constant double").first()
+    row = rows.select("text", "toxic").coalesce(1).mapInArrow(lean(run), "weights binary, bias double, constant double").first()
     if row is None:
         return Model(np.zeros(1 << BITS), 0.0, share)
     return Model(np.frombuffer(row.weights, np.float32), row.bias, None if row.constant is None or row.constant != row.constant else row.constant)
@@ -182,7 +182,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, offending)], [*keep, "score", "offending"])
 
-    return documents.select(*keep).mapInArrow(run, schema)
+    return documents.select(*keep).mapInArrow(lean(run), schema)
 
 
 def held_out() -> F.Column:

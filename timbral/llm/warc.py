@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read
+from .common import lean, new_path, read
 
 MIN_REVISIT = 100
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,7 +89,7 @@ def export(spark: SparkSession, path: str, out: str) -> DataFrame:
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return records(spark, path).select("header", "payload").mapInArrow(run, "file string, records bigint")
+    return records(spark, path).select("header", "payload").mapInArrow(lean(run), "file string, records bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
