@@ -8,15 +8,17 @@ which also starts somewhere else.
    once in the corpus has no repeated window.  Of a phrase that occurs twice or more, all windows are
    repeated.
 3. Suffixes.  What is left are windows in phrases that differ but share a trigger: the edges of repeated
-   passages.  The bytes of each such dictionary phrase are read once, and all its suffixes, cut at 200
-   bytes, are put in order (of their hashes, as any total order will do) with those of the other phrases of
-   the trigger: suffixes that have an equal neighbour are repeated.  Where a trigger has very many phrases,
-   the suffixes are dealt out over tasks by their hashes instead.
-4. The repeated starts of a text become spans, and the spans are cut out.
-
-Only the equality of suffixes up to 200 bytes decides, so neither the rest of the suffixes nor their
-alphabetical order is computed.  All counts are grouped sums with map-side merging: a passage or a copy
-in a third of all rows is a few rows of each task.
+   passages.  The bytes of each such dictionary phrase are read once, and those of the same triggers meet in a task,
+   which builds their suffix array in byte order by prefix doubling, down to 200 bytes: suffixes that have an equal
+   neighbour in it are repeated.  Where a trigger has very many phrases, the suffixes are dealt out over tasks by
+   their hashes instead, after those that are equal within a task have merged.
+4. The parse gives each dictionary phrase its places in the corpus.  The repeated starts of a text become spans, and
+   the spans are cut out.
+
+Phrases overlap by so much that every 200-byte window lies inside one, so the order of two windows, and whether they
+are equal, is that of two dictionary suffixes; a suffix array of the parse would only order windows that are equal,
+and is not built.  All counts are grouped sums with map-side merging: a passage or a copy in a third of all rows is a
+few rows of each task.
 
 Texts are UTF-8 bytes, null is empty, and texts under 200 bytes keep all.  Matches never span two texts.
 Equal texts have equal results, whatever their ids, so spans are kept by a 128-bit hash of the text.
@@ -34,10 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, in_bitmap, lean, mix, prefix_hash, read, stash, substring_hash, text_chunks
+from .common import bitmap, free_name, in_bitmap, lean, map_all, mix, named, prefix_hash, read, stash, substring_hash, text_chunks
 
 LENGTH = 200
 TRIGGER = 48
+#: Texts that a task remembers.
+REMEMBER = 1 << 18
 #: Phrases of one trigger up to this many are compared in one task, those of the others across tasks.
 FEW = 128
 
@@ -76,10 +80,10 @@ def phrases(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, trigger: i
     return begin, count, h[anchor[first]], substring_hash(prefix, begin, begin + count - 1 + length)
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """All columns and two hashes of the text."""
+def _keys() -> tuple[Column, Column]:
+    """Two hashes of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def _occurrences(keyed: DataFrame, length: int, trigger: int, only: DataFrame | None = None) -> DataFrame:
@@ -90,13 +94,15 @@ def _occurrences(keyed: DataFrame, length: int, trigger: int, only: DataFrame |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("__k1", "__k2")]
+            keys = [batch.column(c).to_numpy() for c in ("k1", "k2")]
             for row, data, offs in text_chunks(batch.column("text")):
                 begin, count, ah, sh = phrases(data, offs, length, trigger)
                 text = np.searchsorted(offs, begin, "right") - 1
                 keep = np.zeros(len(offs) - 1, bool)
                 for i in np.unique(text).tolist():
                     k = (int(keys[0][row + i]), int(keys[1][row + i]))
+                    if len(seen) >= REMEMBER:
+                        seen.clear()  # a text may be told of again
                     seen[k] = seen.get(k, 0) + 1
                     keep[i] = seen[k] <= 2
                 use = keep[text]
@@ -105,7 +111,7 @@ def _occurrences(keyed: DataFrame, length: int, trigger: int, only: DataFrame |
                 text, begin = text[use], begin[use]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah[use].view(np.int64), sh[use].view(np.int64), keys[0][row + text], keys[1][row + text], begin - offs[text], count[use])], ["ah", "sh", "k1", "k2", "s", "len"])
 
-    return keyed.select("text", "__k1", "__k2").mapInArrow(lean(run), "ah bigint, sh bigint, k1 bigint, k2 bigint, s bigint, len bigint")
+    return keyed.mapInArrow(lean(run), "ah bigint, sh bigint, k1 bigint, k2 bigint, s bigint, len bigint")
 
 
 def _dictionary_bytes(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
@@ -130,22 +136,14 @@ def _dictionary_bytes(keyed: DataFrame, need: DataFrame, length: int) -> DataFra
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:5]), pa.array(out[5], pa.binary())], names)
 
     wanted = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "m", "s", "len")).alias("found"))  # bounded by a text's length
-    texts = keyed.select("text", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
-    texts = texts.mapInArrow(lean(likely), texts.schema).join(wanted, ["k1", "k2"])
+    texts = keyed.mapInArrow(lean(likely), keyed.schema).join(wanted, ["k1", "k2"])
     return texts.mapInArrow(lean(run), "ah bigint, m bigint, k1 bigint, k2 bigint, s bigint, bytes binary")
 
 
-def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in the phrase, hash) of all suffixes, cut at ``length``, of a batch of phrases."""
-    rows, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for row, data, offs in text_chunks(batch.column("bytes")):
-        n = np.diff(offs) - length + 1
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begin = np.repeat(offs[:-1], n) + at
-        rows.append(row + np.repeat(np.arange(len(n)), n))
-        places.append(at)
-        hashes.append(substring_hash(prefix_hash(data), begin, begin + length))
-    return np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
+def _suffixes(offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, start) of all suffixes of at least ``length`` bytes of phrases with these offsets."""
+    n = np.diff(offs) - length + 1
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) + np.repeat(offs[:-1] - np.cumsum(n) + n, n)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -182,10 +180,30 @@ def _runs(k1: np.ndarray, k2: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k1[text]), pa.array(k2[text]), lists], ["k1", "k2", "found"])
 
 
+def byte_order(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank, in byte order, of the ``length`` bytes from each place on; equal bytes have equal ranks, and bytes
+    beyond the end come before all others.  Each round doubles the depth to which suffixes are in order."""
+    n, depth = len(data), min(8, length)
+    ahead = np.append(data, np.zeros(depth, np.uint8)).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for j in range(depth):
+        key = key << np.uint64(8) | ahead[j : j + n]
+    rank = np.unique(key, return_inverse=True)[1]
+    while depth < length:
+        step = min(depth, length - depth)
+        follow = np.zeros(n, np.int64)
+        follow[: max(n - step, 0)] = rank[step:] + 1
+        rank = np.unique(rank * (n + 1) + follow, return_inverse=True)[1]
+        depth += step
+    return rank
+
+
 def _neighbours(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Indices of the suffixes that have an equal one (by hash) at another place; one place may come twice."""
+    """Indices of the suffixes that have an equal one (by rank or hash) at another place; one place may come twice."""
     order = np.lexsort((s, k2, k1, h))
-    first = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else order
+    if not len(h):
+        return order
+    first = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]]))
     last = np.append(first[1:], len(h)) - 1
     a, b = order[first], order[last]
     other = (k1[a] != k1[b]) | (k2[a] != k2[b]) | (s[a] != s[b])
@@ -194,40 +212,54 @@ def _neighbours(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray) ->
 
 def _few(pieces: DataFrame, length: int) -> DataFrame:
     """Runs of repeated starts in phrases whose triggers have few phrases, which meet in one task a trigger.
-    There the suffixes are put in order, and equal neighbours are repeated."""
+    There the suffixes are put in byte order, and equal neighbours are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "ah"):
-            row, place, h = _suffixes(batch, length)
+            _, data, offs = next(text_chunks(batch.column("bytes"), 1 << 62))
+            row, at = _suffixes(offs, length)
             k1, k2, s = (batch.column(c).to_numpy()[row] for c in ("k1", "k2", "s"))
-            hit = _neighbours(h, k1, k2, s + place)
-            yield _runs(k1[hit], k2[hit], (s + place)[hit])
+            s = s + at - offs[row]
+            hit = _neighbours(byte_order(data, length)[at], k1, k2, s)
+            yield _runs(k1[hit], k2[hit], s[hit])
 
     return pieces.repartition("ah").sortWithinPartitions("ah").mapInArrow(lean(run), _RUNS)
 
 
 def _many(pieces: DataFrame, length: int) -> DataFrame:
     """The same for triggers with many phrases: their suffixes are dealt out by their hashes, to one more group
-    for every FEW phrases."""
+    for every FEW phrases.  Of suffixes that are equal within a batch only one is dealt; all of them are known."""
+
+    def group_rows(g: np.ndarray, known: bool, *columns: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(g, kind="stable")
+        g = g[order]
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else order
+        at = pa.array(np.append(first, len(g)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(np.full(len(first), known)), *(pa.ListArray.from_arrays(at, pa.array(x[order])) for x in columns)], ["g", "known", "h", "k1", "k2", "s"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, place, h = _suffixes(batch, length)
-            k1, k2, s, ah, m = (batch.column(c).to_numpy()[row] for c in ("k1", "k2", "s", "ah", "m"))
-            group = (ah.view(np.uint64) + mix(h % (-(-m // FEW)).astype(np.uint64))).view(np.int64)
-            order = np.argsort(group, kind="stable")
-            g = group[order]
-            first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else order
-            at = pa.array(np.append(first, len(g)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(g[first]), *(pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (h.view(np.int64), k1, k2, s + place))], ["g", "h", "k1", "k2", "s"])
+            for first, data, offs in text_chunks(batch.column("bytes")):
+                row, at = _suffixes(offs, length)
+                k1, k2, s, ah, m = (batch.column(c).to_numpy()[first + row] for c in ("k1", "k2", "s", "ah", "m"))
+                s, h = s + at - offs[row], substring_hash(prefix_hash(data), at, at + length)
+                known, once = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                known[_neighbours(h, k1, k2, s)] = True
+                once[np.unique(h, return_index=True)[1]] = True
+                group = (ah.view(np.uint64) + mix(h % (-(-m // FEW)).astype(np.uint64))).view(np.int64)
+                dealt = ~known | once
+                yield group_rows(group[dealt], False, h[dealt].view(np.int64), k1[dealt], k2[dealt], s[dealt])
+                yield group_rows(k1[known], True, h[known].view(np.int64), k1[known], k2[known], s[known])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "g"):
             h, k1, k2, s = (batch.column(c).flatten().to_numpy() for c in ("h", "k1", "k2", "s"))
-            hit = _neighbours(h.view(np.uint64), k1, k2, s)
+            known = np.repeat(batch.column("known").to_numpy(zero_copy_only=False), np.diff(batch.column("h").offsets.to_numpy()))
+            new = np.flatnonzero(~known)
+            hit = np.append(np.flatnonzero(known), new[_neighbours(h[new].view(np.uint64), k1[new], k2[new], s[new])])
             yield _runs(k1[hit], k2[hit], s[hit])
 
-    dealt = pieces.mapInArrow(lean(deal), "g bigint, h array<bigint>, k1 array<bigint>, k2 array<bigint>, s array<bigint>")
+    dealt = pieces.mapInArrow(lean(deal), "g bigint, known boolean, h array<bigint>, k1 array<bigint>, k2 array<bigint>, s array<bigint>")
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), _RUNS)
 
 
@@ -257,46 +289,49 @@ def _merge(found: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def spans(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """All columns of ``documents`` plus kept (binary: the bytes that stay) and spans (structs start, end of those removed)."""
-    keep = [c for c in documents.columns if c not in ("kept", "spans")]
-    documents = documents.select(*keep)
-    keyed = _keyed(documents)
-    found = repeated(keyed, length, trigger)
+def _marked(documents: DataFrame, kept_as: str, spans_as: str, length: int, trigger: int) -> DataFrame:
+    """All columns, the bytes that stay, and the structs start, end of those removed."""
+    own = documents.columns
+    names = [free_name(documents, c) for c in ("__k1", "__k2", "__found")]
+    keys = _keys()
+    found = repeated(documents.select("text", keys[0].alias("k1"), keys[1].alias("k2")), length, trigger).toDF(*names)
     pair = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-    schema = documents.schema.add("kept", "binary").add("spans", pair)
+    schema = T.StructType([*documents.schema.fields, T.StructField(kept_as, T.BinaryType()), T.StructField(spans_as, pair)])
     arrow_pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, cut = [], []
-            for found, text in zip(batch.column("__found").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for found, text in zip(batch.column(names[2]).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 text, at, rest = text or b"", 0, []
                 cut.append([{"start": a, "end": b} for a, b in _merge(found, length)] if found else [])
                 for x in cut[-1]:
                     rest.append(text[at : x["start"]])
                     at = x["end"]
                 kept.append(b"".join([*rest, text[at:]]) if rest else text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(kept, pa.binary()), pa.array(cut, arrow_pair)], [*keep, "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(kept, pa.binary()), pa.array(cut, arrow_pair)], [*own, kept_as, spans_as])
+
+    keyed = documents.withColumns(dict(zip(names, keys, strict=False)))
+    return map_all(keyed.join(found, names[:2], "left").select(*named(own), names[2]), run, schema)
+
 
-    found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("found").alias("__found"))
-    joined = keyed.join(found, ["__k1", "__k2"], "left").select(*keep, "__found")
-    return joined.mapInArrow(lean(run), schema)
+def spans(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
+    """All columns of ``documents`` plus kept (binary: the bytes that stay) and spans (structs start, end of those removed)."""
+    return _marked(documents.drop("kept", "spans"), "kept", "spans", length, trigger)
 
 
 def clean(documents: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """The documents with repeated bytes cut out of their texts (a character that is cut in half goes whole;
     null text stays null), n_chars brought up to date, other columns and all rows kept."""
-    own = [c for c in documents.columns if c not in ("kept", "spans")]
-    documents = documents.select(*own)
+    own, kept_as, spans_as = documents.columns, free_name(documents, "__kept"), free_name(documents, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), batch.column("spans").to_pylist(), strict=True)
+            rows = zip(batch.column("text").to_pylist(), batch.column(kept_as).to_pylist(), batch.column(spans_as).to_pylist(), strict=True)
             text = pa.array([kept.decode("utf-8", "ignore") if cut else old for old, kept, cut in rows], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in own], own)
 
-    out = spans(documents, length, trigger).mapInArrow(lean(run), documents.schema)
+    out = map_all(_marked(documents, kept_as, spans_as, length, trigger), run, documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in own else out
 
 
