@@ -1,11 +1,13 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build_index`` stores the postings of the training tokens, partitioned by document: one row for
+``build_index`` stores the postings of all training tokens once, partitioned by document: one row for
 a block of about a megabyte of text, holding for each term its sorted word positions.  A test
 phrase is looked up from its rarest term in the block: the postings of the term, shifted by its
 offset in the phrase, are intersected with the shifted postings of the next rarest term and so on,
-until no start is left or all terms agree.  No posting is shuffled, so a term or document that
-holds a third of all rows costs no more than its own size in the tasks that read it.
+until no start is left or all terms agree.  Proximity matches allow each term a few words of slop.  No posting is
+shuffled, so a term or document that holds a third of all rows costs no more than its own size in the tasks that
+read it.  Test phrases come in blocks of bounded size, one after the other; the matches of each are written before
+the next is read.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  A window is 13 consecutive
 words of an item; an item of fewer words, but not none, is one window.  Matches never span two
@@ -19,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,66 +30,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, lean, read, stash, text_chunks, words
+from .common import ALNUM_WORDS, free_name, lean, named, new_path, read, stash, text_chunks, words
 
 WINDOW = 13
-#: Test phrases go to the executors in blocks of at most so many words (8 MB); each block is matched against the whole index.
+#: Test items go to the executors in blocks of about so many words (8 MB); each block is matched against the whole index.
 BLOCK_WORDS = 1_000_000
+#: Free places between the documents of an index row; the slop of a proximity match is less.
+GAP = 8
+#: Words that a term may be off its place in the proximity matches of the query.
+SLOP = 1
 
 INDEX = pa.schema([("row", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("term", pa.list_(pa.int64())), ("df", pa.list_(pa.int32())), ("gap", pa.list_(pa.int32()))])
 INDEX_DDL = "row bigint, doc_id array<bigint>, n_words array<int>, term array<bigint>, df array<int>, gap array<int>"
-MATCH_DDL = "row bigint, doc_id bigint, n_words bigint, hits array<struct<start:int,length:int,item:bigint,phrase:int>>"
+MATCH_DDL = "row bigint, doc_id bigint, n_words bigint, hits array<struct<start:int,length:int,item:bigint,phrase:int,exact:boolean>>"
 
 
-def item_phrases(items: DataFrame, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """Blocks of test phrases: (word hashes, phrase offsets, item id of each phrase), streamed in bounded pieces."""
-    block, ids, size = [], [], 0
+@dataclass
+class Phrases:
+    """Test phrases: the word hashes of items one after the other, and start, length and item of each window."""
+
+    words: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    item: pa.Array
+
+
+def item_phrases(items: DataFrame, window: int = WINDOW) -> Iterator[Phrases]:
+    """Blocks of test phrases, streamed; a very long item goes on in the next block."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, list]] = []
+    size = 0
     for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         for _, data, offs in text_chunks(pa.array([row.text], pa.string())):
             h = words(data, offs, ALNUM_WORDS)[2]
-            for i in range(max(len(h) - window + 1, min(len(h), 1))):
-                block.append(h[i : i + window])
-                ids.append(row.item_id)
-                size += len(block[-1])
+            n, at = max(len(h) - window + 1, min(len(h), 1)), 0
+            while at < n:
+                take = max(min(n - at, BLOCK_WORDS - size), 1)
+                own = h[at : at + take + window - 1]
+                parts.append((own, size + np.arange(take), np.full(take, min(window, len(h))), [row.item_id] * take))
+                at, size = at + take, size + len(own)
                 if size >= BLOCK_WORDS:
-                    yield np.concatenate(block), np.cumsum([0, *map(len, block)]), ids
-                    block, ids, size = [], [], 0
-    if block:
-        yield np.concatenate(block), np.cumsum([0, *map(len, block)]), ids
+                    yield _block_of(parts)
+                    parts, size = [], 0
+    if parts:
+        yield _block_of(parts)
 
 
-def _dictionary(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted terms and a bitmap that answers most look-ups of other words at once."""
-    bits = np.zeros(1 << 20, bool)
-    bits[(terms >> np.uint64(44)).astype(np.int64)] = True
-    return terms, bits
+def _block_of(parts: list) -> Phrases:
+    h, start, length, item = zip(*parts, strict=True) if parts else ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [[]])
+    return Phrases(np.concatenate(h), np.concatenate(start), np.concatenate(length), pa.array([i for x in item for i in x], pa.int64()))
 
 
-def build_index(documents: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
-    """Index rows of INDEX_DDL.  ``terms``: sorted hashes of the words to index, all words if None.
+def build_index(documents: DataFrame) -> DataFrame:
+    """Index rows of INDEX_DDL, with the postings of all words.
 
-    The positions of a block count on through its documents with one free place after each of
+    The positions of a block count on through its documents with GAP free places after each of
     them, and are stored as gaps between the postings of a term: small integers, which Parquet
     packs into few bits.
     """
-    shared = None if terms is None else documents.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if shared is None else _dictionary(shared.value)
         number = TaskContext.get().partitionId() << 36  # of the block's first document; the same each time the input is read
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for row, data, offs in text_chunks(batch.column("text")):
                 _, _, h, by = words(data, offs, ALNUM_WORDS)
                 n = np.diff(by)
-                at = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
-                if known is not None:
-                    keep = np.flatnonzero(known[1][(h >> np.uint64(44)).astype(np.int64)])
-                    place = np.searchsorted(known[0], h[keep])
-                    keep = keep[known[0][np.minimum(place, len(known[0]) - 1)] == h[keep]]
-                    h, at = h[keep], at[keep]
                 order = np.argsort(h, kind="stable")
-                h, at = h[order], at[order].astype(np.int32)
+                h, at = h[order], (np.arange(len(h)) + np.repeat(GAP * np.arange(len(n)), n))[order].astype(np.int32)
                 first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
                 gap = np.diff(at, prepend=np.int32(0))
                 gap[first] = at[first]
@@ -106,7 +116,7 @@ class Block:
         run = np.cumsum(gap, dtype=np.int64)
         before = np.repeat(np.append(0, run)[self.offsets[:-1]], df)
         self.positions = run - before
-        self.starts = np.concatenate(([0], np.cumsum(n_words.astype(np.int64) + 1)))
+        self.starts = np.concatenate(([0], np.cumsum(n_words.astype(np.int64) + GAP)))
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
         """Number of each word in this block's dictionary, -1 if absent."""
@@ -132,9 +142,9 @@ class Block:
                 break
         return found[found >= 0]
 
-    def near(self, ranks: np.ndarray, slop: int) -> np.ndarray:
-        """Starts s of the rarest term for which every term of the phrase has a posting within
-        ``slop`` words of its place in the phrase."""
+    def near(self, ranks: np.ndarray, slop: int) -> tuple[np.ndarray, int]:
+        """Starts for which the rarest term stands at its place in the phrase, and every other one within ``slop``
+        words of its own; and the place of the rarest term."""
         order = np.argsort(self.df[ranks], kind="stable")
         found = self.postings(ranks[order[0]]) - order[0]
         for j in order[1:]:
@@ -143,40 +153,47 @@ class Block:
             found = found[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= found + slop)]
             if not len(found):
                 break
-        return found[found >= 0]
+        return found, int(order[0])
 
 
 def _lists(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
     return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
 
 
-def search(index: DataFrame, phrases: tuple[np.ndarray, np.ndarray, list], slop: int | None = None) -> DataFrame:
+def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
     """Rows of MATCH_DDL for every document of the index: each place where a phrase occurs exactly,
-    or, with ``slop``, where each of its words lies within so many words of its place."""
+    and, with ``slop`` (less than GAP), those where each of its words lies within so many words of its place."""
+    if slop is not None and not 0 <= slop < GAP:
+        raise ValueError(f"slop must be less than {GAP}")
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, offs, items = shared.value
-        lengths = np.diff(offs)
+        p = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, n = batch.column("doc_id")[i].values, _lists(batch, "n_words", i)
                 block = Block(_lists(batch, "term", i), _lists(batch, "df", i), _lists(batch, "gap", i), n)
-                ranks = block.ranks(h)
-                whole = np.flatnonzero(np.minimum.reduceat(ranks, offs[:-1]) >= 0) if len(h) else []
-                doc, start, phrase = [], [], []
-                for k in whole:
-                    r = ranks[offs[k] : offs[k + 1]]
-                    found = block.phrase(r) if slop is None else block.near(r, slop)
+                ranks = block.ranks(p.words)
+                absent = np.append(0, np.cumsum(ranks < 0))
+                doc, start, phrase, exact = [], [], [], []
+                for k in np.flatnonzero(absent[p.start + p.length] == absent[p.start]).tolist():
+                    r = ranks[p.start[k] : p.start[k] + p.length[k]]
+                    if slop is None:
+                        found, rarest, same = block.phrase(r), 0, None
+                    else:
+                        found, rarest = block.near(r, slop)
+                        same = np.isin(found, block.phrase(r)) if len(found) else None
                     if len(found):
-                        d = np.searchsorted(block.starts, found, "right") - 1
+                        d = np.searchsorted(block.starts, found + rarest, "right") - 1
                         doc.append(d)
-                        start.append(found - block.starts[d])
+                        start.append(np.maximum(found - block.starts[d], 0))
                         phrase.append(np.full(len(found), k))
+                        exact.append(np.ones(len(found), bool) if same is None else same)
                 doc, start, phrase = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, start, phrase))
+                exact = np.concatenate(exact) if exact else np.zeros(0, bool)
                 order = np.lexsort((phrase, start, doc))
-                doc, start, phrase = doc[order], start[order], phrase[order]
-                hits = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(lengths[phrase].astype(np.int32)), pa.array([items[k] for k in phrase], pa.int64()), pa.array(phrase.astype(np.int32))], ["start", "length", "item", "phrase"])
+                doc, start, phrase, exact = doc[order], start[order], phrase[order], exact[order]
+                hits = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(p.length[phrase].astype(np.int32)), p.item.take(pa.array(phrase)), pa.array(phrase.astype(np.int32)), pa.array(exact)], ["start", "length", "item", "phrase", "exact"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32)), hits)
                 row = batch.column("row")[i].as_py() + np.arange(len(n))
                 yield pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(n.astype(np.int64)), lists], ["row", "doc_id", "n_words", "hits"])
@@ -184,54 +201,62 @@ def search(index: DataFrame, phrases: tuple[np.ndarray, np.ndarray, list], slop:
     return index.mapInArrow(lean(run), MATCH_DDL)
 
 
-def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, key: str = "doc_id") -> list[DataFrame]:
-    """One table of MATCH_DDL for each block of test phrases (one for all but huge benchmarks).
-    The index of a block's terms is written to the shared folder before it is searched."""
-    documents = documents.select(F.col(key).alias("doc_id"), "text")
-    none = (np.zeros(0, np.uint64), np.zeros(1, np.int64), [])
-    return [search(stash(build_index(documents, np.unique(p[0])), "index"), p, slop) for p in list(item_phrases(items, window)) or [none]]
-
-
-def _report(n_words: int, hits: list) -> tuple[int, list[str]]:
-    if not hits:
-        return 0, []
+def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, key: str = "doc_id") -> DataFrame:
+    """A row of MATCH_DDL for every document.  The index is written to the shared folder once; where the test items
+    are more than one block, so are the matches of each, and meet by the number of the document row."""
+    spark = documents.sparkSession
+    index = stash(build_index(documents.select(F.col(key).alias("doc_id"), "text")), "index")
+    blocks = item_phrases(items, window)
+    first, second = next(blocks, _block_of([])), next(blocks, None)
+    if second is None:
+        return search(index, first, slop)
+    path = new_path(spark, "matches")
+    for block in chain((first, second), blocks):
+        search(index, block, slop).filter(F.size("hits") > 0).write.mode("append").parquet(path)
+    rows = search(index, _block_of([])).unionByName(spark.read.schema(MATCH_DDL).parquet(path))
+    return rows.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+
+def _report(n_words: int, hits: list) -> tuple[int, list[str], int]:
+    exact = [x for x in hits if x["exact"]]
+    near = len({(x["start"], x["length"]) for x in hits if not x["exact"]})
+    if not exact:
+        return 0, [], near
     edge = np.zeros(n_words + 1, np.int64)
-    np.add.at(edge, [x["start"] for x in hits], 1)
-    np.add.at(edge, [x["start"] + x["length"] for x in hits], -1)
-    return int((np.cumsum(edge) > 0).sum()), sorted({str(x["item"]) for x in hits if x["item"] is not None})
+    np.add.at(edge, [x["start"] for x in exact], 1)
+    np.add.at(edge, [x["start"] + x["length"] for x in exact], -1)
+    return int((np.cumsum(edge) > 0).sum()), sorted({str(x["item"]) for x in exact if x["item"] is not None}), near
 
 
-def report(found: list[DataFrame]) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row per document row."""
-    ddl = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+def report(found: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, of the exact matches, and n_near, the places of
+    other proximity matches: one row per document row."""
+    ddl = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, out = batch.column("n_words").to_pylist(), []
             for k, hits in zip(n, batch.column("hits").to_pylist(), strict=True):
-                hit, items = _report(k, hits or [])
-                out.append((hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= k))
-            rest = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.int64()), pa.array(rest[2], pa.string()), pa.array(rest[3], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                hit, items, near = _report(k, hits or [])
+                out.append((hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= k, near))
+            rest = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(x, k) for x, k in zip(rest, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()), strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"])
 
-    if len(found) == 1:
-        return found[0].mapInArrow(lean(run), ddl)
-    # hits of several phrase blocks meet by the number of the document row
-    whole = reduce(DataFrame.unionByName, found)
-    return whole.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits")).mapInArrow(lean(run), ddl)
+    return found.mapInArrow(lean(run), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    """The exact matches, which SQL can check; ``matches`` with a slop gives the proximity matches."""
+    return report(matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))).drop("n_near")
 
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns kept.
 
     Rows are told apart by a hash of their text, as equal texts have equal verdicts."""
-    keyed = documents.select("*", F.xxhash64("text").alias("__key"))
-    bad = report(matches(keyed, items, key="__key")).filter("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(bad, "__key", "left_anti").drop("__key")
+    key = free_name(documents, "__key")
+    bad = report(matches(documents.select(F.xxhash64("text").alias("doc_id"), "text"), items)).filter("contaminated")
+    return documents.withColumn(key, F.xxhash64("text")).join(bad.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*named(documents.columns))
 
 
 _CHARS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
