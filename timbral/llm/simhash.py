@@ -9,14 +9,15 @@ long, so a document needs 32 sums and no row for each bit.
 blocks, of which any two stay whole under so many flips, so a table keyed by each pair of blocks (one
 permutation of the blocks a table) misses nothing.  Equal fingerprints are one row of the tables.
 
-Null or empty text has one empty term.  Documents are ordered by doc_id, equal doc_ids by text and null
-doc_ids first; rows equal in both are told apart by their place in the input, and the next of one may
+Null or empty text has one empty term.  Documents are ordered by doc_id, equal doc_ids by a hash of the text and
+null doc_ids first; rows equal in both are told apart by their place in the input, and the next of one may
 be its copy.  After the last document comes the first; a single document is next to itself.  An empty
 table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations
 
@@ -28,8 +29,11 @@ from .common import read, stash
 RADIUS = 3
 #: Documents in a range of doc_ids, about: a range with its texts is ordered by one task.
 RANGE_ROWS = 1000
-#: Boundaries of these ranges at most; they are part of the query.
-MAX_RANGES = 4096
+#: Ranges are of so many documents up to FINE_RANGES of them, and hold about RANGE_BYTES of text beyond that.
+FINE_RANGES = 4096
+RANGE_BYTES = 1 << 30
+#: Keys sampled for each boundary.
+SAMPLE = 40
 
 
 def terms(text: Column) -> Column:
@@ -79,31 +83,50 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
     return found.select("query", "fingerprint", distance.alias("distance")).distinct()
 
 
-def _pieces(column: str, cuts: list[int]) -> Column:
-    """Number of the cuts not above the column, by binary search."""
+_KEY = ("o", "h", "row")
+
+
+def _boundaries(docs: DataFrame, parts: int, rows: int) -> list[tuple[int, int, int]]:
+    """Up to parts - 1 keys that cut the documents into ranges of about equal size, from a sample of the keys."""
+    if parts < 2:
+        return []
+    dice = F.shiftrightunsigned(F.xxhash64(F.lit(7), *_KEY), 11) / F.lit(float(1 << 53))
+    keys = sorted(tuple(r) for r in docs.select(*_KEY).filter(dice < F.lit(SAMPLE * parts / rows)).collect())
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+
+
+def _range_of(cuts: list[tuple[int, int, int]]) -> Column:
+    """Number of the cuts not above a row's key.  The cuts are one literal, in rows of about the square root of their
+    number: first the row is found, then the place in it."""
     if not cuts:
         return F.lit(0)
-    mid = len(cuts) // 2
-    return F.when(F.col(column) < F.lit(cuts[mid]), _pieces(column, cuts[:mid])).otherwise(F.lit(mid + 1) + _pieces(column, cuts[mid + 1 :]))
+    wide = int(len(cuts) ** 0.5) + 1
+    grid = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    kind = "struct<o:bigint,h:bigint,row:bigint>"
+    literal = lambda rows, of: F.from_json(F.lit(json.dumps(rows)), of)  # noqa: E731  folded into a constant
+    named = lambda keys: [dict(zip(_KEY, k, strict=True)) for k in keys]
+    heads, rows = literal(named([g[0] for g in grid]), f"array<{kind}>"), literal([named(g) for g in grid], f"array<array<{kind}>>")
+    key = F.struct(*_KEY)
+    row = F.size(F.filter(heads, lambda c: c <= key))
+    inside = F.transform(F.array(row), lambda k: F.when(k == 0, 0).otherwise((k - 1) * wide + F.size(F.filter(F.get(rows, k - 1), lambda c: c <= key))))
+    return inside[0]
 
 
 def with_next(documents: DataFrame) -> DataFrame:
     """row (its place), doc_id, text and next_row, next_text of each document; after the last comes the first.
 
-    Texts are shuffled once, by ranges of doc_id; the first document of each range is copied to the end
+    Texts are shuffled once, by ranges of their keys; the first document of each range is copied to the end
     of the range before it, so every next document is found in its own range."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    docs = docs.withColumn("o", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    parts = max(1, min(MAX_RANGES, docs.count() // RANGE_ROWS))
-    cuts = sorted({int(c) for c in docs.stat.approxQuantile("o", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    docs = docs.withColumn("r", _pieces("o", cuts).cast("int"))
-    least = {r.r: r.o for r in docs.groupBy("r").agg(F.min("o").alias("o")).collect()}  # a row a range
+    docs = docs.withColumns({"o": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "h": F.xxhash64("text")})
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    docs = docs.withColumn("r", _range_of(_boundaries(docs, max(1, min(FINE_RANGES, rows // RANGE_ROWS), size // RANGE_BYTES), rows)))
+    least = {r.r: tuple(r.m) for r in docs.groupBy("r").agg(F.min(F.struct(*_KEY)).alias("m")).collect()}  # a row a range
     ranges = sorted(least)
-    before = [(r, least[r], b) for r, b in zip(ranges, [*ranges[-1:], *ranges[:-1]], strict=True)]
-    begins = F.broadcast(docs.sparkSession.createDataFrame(before, "r int, o bigint, b int"))
-    firsts = docs.join(begins, ["r", "o"]).groupBy("b").agg(F.min(F.struct("o", "text", "row")).alias("m"))
-    copies = firsts.select(F.lit(None).cast("long").alias("doc_id"), "m.text", "m.row", "m.o", F.col("b").alias("r"), F.lit(True).alias("copy"))
-    along = Window.partitionBy("r").orderBy("copy", "o", "text", "row")
+    before = [(r, *least[r], b) for r, b in zip(ranges, [*ranges[-1:], *ranges[:-1]], strict=True)]
+    begins = F.broadcast(docs.sparkSession.createDataFrame(before, "r int, o bigint, h bigint, row bigint, b int"))
+    copies = docs.join(begins, ["r", *_KEY]).select(F.lit(None).cast("long").alias("doc_id"), "text", "row", "o", "h", F.col("b").alias("r"), F.lit(True).alias("copy"))
+    along = Window.partitionBy("r").orderBy("copy", *_KEY)
     both = docs.withColumn("copy", F.lit(False)).unionByName(copies)
     return both.select("*", F.lead("text").over(along).alias("next_text"), F.lead("row").over(along).alias("next_row")).filter("not copy").select("row", "doc_id", "text", "next_row", "next_text")
 
