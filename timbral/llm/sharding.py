@@ -32,9 +32,8 @@ SAMPLE = 20_000
 #: Ranges: this many, or one for every RANGE_BYTES if that is more.
 RANGES = 512
 RANGE_BYTES = 4 << 30
-#: A range of more than this many times the mean is cut again, up to ROUNDS times.
+#: A range of more than this many times the mean is cut again, until none is left or none can be cut.
 OVERFULL = 2.0
-ROUNDS = 4
 #: Equal texts stay together up to this share of a shard.
 WHOLE = 0.01
 
@@ -93,14 +92,15 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranges = max(RANGES, math.ceil(total / RANGE_BYTES))
     cuts = _quantiles(_sample(rows, max(SAMPLE, 40 * ranges), total), ranges)
     bytes_of = _bytes(rows, cuts)
-    for _ in range(ROUNDS):
+    while True:
         full = {r: b for r, b in bytes_of.items() if b > OVERFULL * total / ranges}
         inside = _ranged(rows, cuts).join(F.broadcast(spark.createDataFrame([(r,) for r in full], "r bigint")), "r")
         again = _sample(inside, 40 * sum(math.ceil(b * ranges / total) for b in full.values()), sum(full.values())) if full else []
         if not again:
             break
-        place = np.searchsorted(_edges(cuts), _edges(again), "right")
-        new = [k for r, b in full.items() for k in _quantiles([k for k, p in zip(again, place, strict=True) if p == r], math.ceil(b * ranges / total))]
+        place = np.searchsorted(_edges(cuts), _edges(again), "right")  # ascends, as the keys do
+        at = {r: np.searchsorted(place, [r, r + 1]).tolist() for r in full}
+        new = [k for r, b in full.items() for k in _quantiles(again[slice(*at[r])], math.ceil(b * ranges / total))]
         if {*new} <= {*cuts}:
             break  # nothing left to cut: single rows
         cuts = sorted({*cuts, *new})
