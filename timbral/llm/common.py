@@ -21,6 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch: texts are long, and a batch is held several times over.
 BATCH_ROWS = 2000
@@ -177,6 +178,18 @@ def named(columns: list[str], of: DataFrame | None = None) -> list[F.Column]:
     return [F.col(c) if of is None else of[c] for c in quoted]
 
 
+def map_all(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """mapInArrow for tables with columns of any name, which mapInArrow itself takes for paths where they hold a dot."""
+    own, names = df.columns, schema.names
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(own) for b in batches):
+            yield batch.rename_columns([f"c{i}" for i in range(len(names))])
+
+    kinds = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(own)))).mapInArrow(lean(plain), kinds).toDF(*names)
+
+
 # Shared folder ------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, _LOWER, lean, prefix_hash, read, substring_hash, text_chunks, words
+from .common import _LOWER, ALNUM_WORDS, free_name, lean, map_all, named, prefix_hash, read, substring_hash, text_chunks, words
 
 #: A sentence's features are its distinct words and their first bytes, for inflected and compound words.
 STEM = 5
@@ -159,8 +159,13 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """All columns of ``documents`` but score and offending, plus score, and offending: structs (start, end, p) in bytes of the
     sentences with p >= 0.5, or of the likeliest one."""
-    keep = [c for c in documents.columns if c not in ("score", "offending")]
-    schema = documents.select(*keep).schema.add("score", "double").add("offending", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("p", "double")))
+    return _scored(documents.drop("score", "offending"), model, "score", "offending")
+
+
+def _scored(documents: DataFrame, model: Model, score_as: str, offending_as: str) -> DataFrame:
+    keep = documents.columns
+    spans = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("p", "double"))
+    schema = T.StructType([*documents.schema.fields, T.StructField(score_as, T.DoubleType()), T.StructField(offending_as, spans)])
     shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.constant))
     offending = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
@@ -180,9 +185,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                     at = at if most[i] >= 0.5 else at[:1]
                     spans.append([{"start": int(begin[j] - offs[i]), "end": int(end[j] - offs[i]), "p": float(p[j])} for j in at])
             columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, offending)], [*keep, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, offending)], [*keep, score_as, offending_as])
 
-    return documents.select(*keep).mapInArrow(lean(run), schema)
+    return map_all(documents, run, schema)
 
 
 def held_out() -> F.Column:
@@ -191,7 +196,8 @@ def held_out() -> F.Column:
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score under 0.5, with the columns and rows they came with."""
-    return score(documents, fit(documents, labels)).filter("score < 0.5").select(*documents.columns)
+    score_as, offending_as = free_name(documents, "__score"), free_name(documents, "__offending")
+    return _scored(documents, fit(documents, labels), score_as, offending_as).filter(F.col(score_as) < 0.5).select(*named(documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
