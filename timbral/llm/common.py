@@ -155,15 +155,20 @@ def lean(run: Callable) -> Callable:
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        if _powers and len(_powers[0]) > 2 * CHUNK_BYTES:
-            _powers.clear()  # they were made for a very long text
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        _give_back()
 
     return wrapped
 
 
+def _give_back() -> None:
+    # not in wrapped, which is sent to the workers with the values of all globals that it names
+    if _powers and len(_powers[0]) > 2 * CHUNK_BYTES:
+        _powers.clear()  # they were made for a very long text
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name like this one that no column of the table has."""
     taken = {c.lower() for c in df.columns}
