@@ -5,7 +5,9 @@ Blocks are arrays (one row a block and channel); long signals are rows (stream,
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +111,32 @@ def tags_first(comments: Column, name: str) -> Column:
 
 def tags_add(comments: Column, name: str, value: Column) -> Column:
     return F.array_append(comments, F.concat(F.lit(f"{name}="), value))
+
+
+@dataclass(frozen=True)
+class Format:
+    """An uncompressed stream: samples a second and channels.  The depth belongs to a file, not to the stream."""
+
+    rate: int
+    channels: int
+
+    def __post_init__(self):
+        if self.rate <= 0 or self.channels <= 0:
+            raise ValueError(f"no stream has {self}")
+
+    def __str__(self) -> str:
+        return f"{self.rate} Hz, {self.channels} ch"
+
+
+def buffer(form: Format, frames: int) -> np.ndarray:
+    """Silence: (channel, frame) of 32-bit floats."""
+    if frames < 0:
+        raise ValueError("a buffer cannot have fewer than no frames")
+    return np.zeros((form.channels, frames), np.float32)
+
+
+def check_buffer(form: Format, planes: list[np.ndarray]) -> int:
+    """Frames of a buffer whose planes are as many as the format's channels and equally long."""
+    if len(planes) != form.channels or len({len(p) for p in planes}) != 1:
+        raise ValueError(f"{len(planes)} planes of {sorted({len(p) for p in planes})} frames for {form}")
+    return len(planes[0])

@@ -88,6 +88,14 @@ class Decoder:
         v = v << low | self.raw(low)
         return min(v, total - 1)
 
+    def skip_to(self, bits: int) -> None:
+        """Count so many bits as used without reading any."""
+        self.bits += max(bits - self.tell(), 0)
+
+    def shrink(self, n: int) -> None:
+        """Leave the last n bytes to another decoder: raw bits come from before them."""
+        self.size -= min(max(n, 0), self.size)
+
     def tell(self) -> int:
         """Bits used so far, rounded up."""
         return self.bits - self.range.bit_length()

@@ -40,11 +40,11 @@ def levinson(r: np.ndarray, order: int) -> tuple[list[np.ndarray], list[float]]:
 
 
 def tukey(n: int, taper: float) -> np.ndarray:
-    """Flat in the middle, raised cosines over half the taper on each side."""
-    edge = taper * (n - 1) / 2
+    """Flat in the middle, raised cosines over half the taper on each side, of a whole number of samples."""
+    width = min(taper, 1.0) * (n - 1)
     at = np.minimum(np.arange(n), np.arange(n)[::-1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(at < edge, 0.5 * (1 - np.cos(np.pi * at / edge)), 1.0) if edge > 0 else np.ones(n)
+    edge = int(width / 2) if taper > 0 else 0
+    return np.where(at < edge, 0.5 * (1 - np.cos(2 * np.pi * at / max(width, 1e-9))), 1.0)
 
 
 def quantise(coefficients: np.ndarray, precision: int) -> tuple[np.ndarray, int] | None:

@@ -461,13 +461,13 @@ def _write_subframe(w: HighWriter, x: np.ndarray, bits: int, max_lpc: int) -> No
 
 
 def stereo_mode(left: np.ndarray, right: np.ndarray) -> int:
-    """The cheapest of left and right, left and side, side and right, mid and side, by first differences."""
+    """The cheapest of left and right, left and side, side and right, mid and side, by first differences, of which the
+    first is from zero; the side has one more bit a sample."""
 
-    def bits(x: np.ndarray) -> float:
-        d = np.abs(np.diff(x))
-        return len(d) * max(0.0, np.log2(1 + d.mean())) if len(d) else 0.0
+    def bits(x: np.ndarray, more: int = 0) -> float:
+        return len(x) * (max(0.0, np.log2(1 + np.abs(np.diff(x, prepend=0)).sum() / len(x))) + more) if len(x) else 0.0
 
-    l, r, m, s = bits(left), bits(right), bits((left + right) >> 1), bits(left - right)  # noqa: E741
+    l, r, m, s = bits(left), bits(right), bits((left + right) >> 1), bits(left - right, 1)  # noqa: E741
     cost = [l + r, l + s, s + r, m + s]
     return (1, LEFT_SIDE, SIDE_RIGHT, MID_SIDE)[int(np.argmin(cost))]
 
