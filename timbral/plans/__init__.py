@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import roundtrips
+from . import exact, roundtrips
 from .catalogue import QUERIES, views
 from .dialect import Duck, Spark
 
@@ -23,8 +23,8 @@ def _run(spark: SparkSession, sf_dir: str, build: Callable) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: _run(spark, sf_dir, f)) for name, f in QUERIES.items()} | roundtrips.QUERIES
+    return {name: (lambda spark, sf_dir, f=f: _run(spark, sf_dir, f)) for name, f in QUERIES.items()} | roundtrips.QUERIES | exact.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: views(Duck) + f(Duck) for name, f in QUERIES.items()} | roundtrips.SQL
+    return {name: views(Duck) + f(Duck) for name, f in QUERIES.items()} | roundtrips.SQL | exact.SQL

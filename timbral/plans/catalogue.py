@@ -148,17 +148,6 @@ def is_constant(d):
     return "select stream, block, min(x) = max(x) as constant from blk group by stream, block"
 
 
-@_named
-def stereo_mode(d):
-    """Estimated bits from mean absolute first differences; the first strictly least of L+R, L+S, S+R, M+S."""
-    mid = d.shr("l + r", "1")
-    diffs = ", ".join(f"abs({e} - lag({e}) over (partition by stream order by i)) as d{c}" for c, e in (("l", "l"), ("r", "r"), ("m", mid), ("s", "(l - r)")))
-    bits = ", ".join(f"n * greatest(0, log2(1 + s{c} / n)) as b{c}" for c in "lrms")
-    return f"""select stream, case when lr <= ls and lr <= sr and lr <= ms then 'left_right' when ls <= sr and ls <= ms then 'left_side' when sr <= ms then 'side_right' else 'mid_side' end as mode
-    from (select stream, bl + br as lr, bl + bs as ls, bs + br as sr, bm + bs as ms from (select stream, {bits} from
-    (select stream, cast(count(*) as double) as n, {", ".join(f"cast(sum(d{c}) as double) as s{c}" for c in "lrms")} from (select stream, i, {diffs} from stereo) q where i >= 1 group by stream) q2) q3) q4"""
-
-
 @_named
 def mid_side_roundtrip(d):
     """Left and right from mid and side; the side's parity gives back the bit that the mid lost."""
@@ -218,13 +207,6 @@ def lpc_residual(d):
     return f"select stream, i, r from (select stream, i, x - {d.shr(f'29 * {lag(1)} - 13 * {lag(2)}', '4')} as r from sig) q where i >= 2"
 
 
-@_named
-def tukey_window(d):
-    """Tapered cosine of half the block on each side, over each block's places."""
-    n = BLOCK - 1
-    return f"""select distinct p, round(case when p < {n} / 4.0 then 0.5 * (1 - cos(2 * pi() * p / ({n} / 2.0))) when p > {n} * 0.75 then 0.5 * (1 - cos(2 * pi() * ({n} - p) / ({n} / 2.0))) else 1.0 end, 6) + 0.0 as w from blk"""
-
-
 @_named
 def vorbis_window(d):
     return f"select distinct p, round(sin(pi() / 2 * pow(sin((p + 0.5) / {BLOCK} * pi()), 2)), 6) + 0.0 as w from blk"
@@ -419,12 +401,6 @@ def pvq_count(d):
     (select a.m as n, b.m as k, c.m as j from ({numbers}) a join ({numbers}) b on b.m >= 1 join ({numbers}) c on c.m >= 1 and c.m <= a.m and c.m <= b.m where a.m >= 1) q group by n, k"""
 
 
-@_named
-def pvq_bits(d):
-    """Bits of an index into the vectors of each size."""
-    return f"select n, k, cast(case when v <= 1 then 0 else {d.bits('case when v <= 1 then 1 else v - 1 end')} end as bigint) as bits from ({pvq_count(d)}) q"
-
-
 @_named
 def band_energy(d):
     """Energy of the bands that cover the 64 components of each vector; the last band ends with them."""
@@ -432,39 +408,15 @@ def band_energy(d):
     return f"select vec_id, band, round(sqrt(sum(v * v) + 1e-27), 5) + 0.0 as amp from vec join ({bands}) b on j >= lo and j < hi group by vec_id, band"
 
 
-@_named
-def haar(d):
-    return "select vec_id, cast(a.j as bigint) as j, round((a.v + b.v) * sqrt(0.5), 5) + 0.0 as low, round((a.v - b.v) * sqrt(0.5), 5) + 0.0 as high from vec a join (select vec_id as id, j, v from vec) b on a.vec_id = b.id and b.j = a.j + 1 where a.j % 2 = 0"
-
-
 @_named
 def lcg_noise(d):
     """Next state of the noise generator from each state."""
     return "select event_id, (1664525 * (event_id * 65537 % 4294967296) + 1013904223) % 4294967296 as next from events"
 
 
-@_named
-def log2_frac(d):
-    """log2 in units of an eighth, rounded up."""
-    return "select distinct x, cast(ceil(round(8 * log2(x), 9)) as bigint) as eighths from sig where x > 0"
-
-
-@_named
-def gain_dequant(d):
-    """Running gain index with each step clamped to 0..63, from steps of -4 to 11: the sum, kept in range by what
-    it went under or over so far."""
-    return """select stream, i, s - least(0, lo) as up from (select stream, i, s, min(s) over (partition by stream order by i) as lo from
-    (select stream, i, cast(sum(x % 16 - 4) over (partition by stream order by i) as bigint) as s from sig) q) q2"""
-
-
 @_named
 def pitch_lag(d):
     """The lag of 2 to 8 with the largest squared correlation by energy, positive correlations only."""
     return f"""select stream, k from (select stream, k, row_number() over (partition by stream order by c * c / e desc, k) as rk from
     (select a.stream as stream, a.k as k, cast(sum((a.x - 25000) * (b.x - 25000)) as double) as c, cast(sum((b.x - 25000) * (b.x - 25000)) as double) + 1 as e
     from (select stream, i, x, k from sig{d.series("2", "8", "ks", "k")}) a join sig b on a.stream = b.stream and b.i = a.i - a.k group by a.stream, a.k) q where c > 0) q2 where rk = 1"""
-
-
-@_named
-def stream_md5(d):
-    return f"select stream, {d.md5_joined('cast(x as ' + ('string' if d.name == 'spark' else 'varchar') + ')', 'i')} as md5 from sig group by stream"
