@@ -77,7 +77,14 @@ def zigzag_unfold(d):
 
 def _rice(d, rows: str, keys: str) -> str:
     """Best Rice parameter and its cost for the folded residuals f of each group: the first least cost of the
-    parameters within two of the bit length of the mean."""
+    parameters within two of the bit length of the mean.  Spark sums the shifted residuals of all 31 parameters in one
+    pass; the other dialect costs each candidate by a join."""
+    if d.name == "spark":
+        sums = ", ".join(f"sum(shiftright(f, {k}))" for k in range(31))
+        best = "array_min(transform(sequence(greatest(e - 2, 0L), least(e + 2, 30L)), k -> named_struct('bits', s[cast(k as int)] + c * (1 + k), 'k', k)))"
+        return f"""select {keys}, best.k as k, best.bits as bits from (select {keys}, {best} as best from
+        (select {keys}, s, c, cast(case when m = 0 then 0 else length(bin(m)) end as bigint) as e from
+        (select {keys}, array({sums}) as s, count(*) as c, cast(sum(f) as bigint) div count(*) as m from ({rows}) r0 group by {keys}) m0) e0) b0"""
     on = " and ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
     mean = d.div("cast(sum(f) as bigint)", "count(*)")
     e = f"case when m = 0 then 0 else {d.bits('case when m = 0 then 1 else m end')} end"
@@ -121,7 +128,11 @@ def partition_best_order(d):
 
 
 def _fixed(d) -> str:
-    """Cost of each fixed predictor on each block, with one Rice partition."""
+    """Cost of each fixed predictor on each block, with one Rice partition.  Spark takes the five residuals in one pass."""
+    if d.name == "spark":
+        each = ", ".join(f"named_struct('o', {k}, 'r', {_lags(k, 'stream, block', 'p')})" for k in range(5))
+        rows = f"select stream, block, a.o as o, {fold(d, 'a.r')} as f from (select stream, block, p, explode(rs) as a from (select stream, block, p, array({each}) as rs from blk) w) q where p >= a.o"
+        return f"select stream, block, cast(o as bigint) as o, bits + 4 + 6 + o * {DEPTH} as cost from ({_rice(d, rows, 'stream, block, o')}) q"
     rows = " union all ".join(f"select stream, block, {k} as o, {fold(d, 'r')} as f from (select stream, block, p, {_lags(k, 'stream, block', 'p')} as r from blk) q{k} where p >= {k}" for k in range(5))
     return f"select stream, block, cast(o as bigint) as o, bits + 4 + 6 + o * {DEPTH} as cost from ({_rice(d, rows, 'stream, block, o')}) q"
 
@@ -187,6 +198,11 @@ def frame_counts(d):
 
 @_named
 def autocorrelation(d):
+    """Spark takes the lags in one window; the other dialect joins the samples with themselves."""
+    if d.name == "spark":
+        sums = ", ".join(f"{k}L, cast(sum(x * x{k}) as bigint)" for k in range(5))
+        past = ", ".join(f"lag(x, {k}) over (partition by stream order by i) as x{k}" for k in range(5))
+        return f"select stream, k, r from (select stream, stack(5, {sums}) as (k, r) from (select stream, x, {past} from (select stream, i, x - 25000 as x from sig) q) q2 group by stream) q3 where r is not null"
     return f"""select stream, k, cast(sum((a_x - 25000) * (b_x - 25000)) as bigint) as r from
     (select a.stream as stream, a.k as k, a.x as a_x, b.x as b_x from (select stream, i, x, k from sig{d.series("0", "4", "ks", "k")}) a
     join sig b on a.stream = b.stream and b.i = a.i - a.k) q group by stream, k"""
@@ -277,6 +293,8 @@ def _crc_query(bits: int) -> Callable:
     and the table holds what eight shifts make of it.  An empty text keeps the start value 0."""
 
     def query(d):
+        if bits == 32 and d.name == "spark":
+            return f"select doc_id, {d.crc32_forward('text')} as crc from documents"
         at = d.xor(d.shr("c", str(bits - 8)), "b")
         step = d.xor(f"(c * 256) % {1 << bits}", d.pick(crc_table(bits), at))
         return f"select doc_id, {d.fold_bytes('text', '0', step)} as crc from documents"
@@ -416,7 +434,13 @@ def lcg_noise(d):
 
 @_named
 def pitch_lag(d):
-    """The lag of 2 to 8 with the largest squared correlation by energy, positive correlations only."""
+    """The lag of 2 to 8 with the largest squared correlation by energy, positive correlations only.  Spark takes the
+    lags in one window."""
+    if d.name == "spark":
+        sums = ", ".join(f"{k}L, cast(sum(x * x{k}) as double), cast(sum(x{k} * x{k}) as double) + 1" for k in range(2, 9))
+        past = ", ".join(f"lag(x, {k}) over (partition by stream order by i) as x{k}" for k in range(2, 9))
+        each = f"select stream, stack(7, {sums}) as (k, c, e) from (select stream, x, {past} from (select stream, i, x - 25000 as x from sig) q) q2 group by stream"
+        return f"select stream, best.k as k from (select stream, min(named_struct('v', -(c * c / e), 'k', k)) as best from ({each}) q3 where c > 0 group by stream) q4"
     return f"""select stream, k from (select stream, k, row_number() over (partition by stream order by c * c / e desc, k) as rk from
     (select a.stream as stream, a.k as k, cast(sum((a.x - 25000) * (b.x - 25000)) as double) as c, cast(sum((b.x - 25000) * (b.x - 25000)) as double) + 1 as e
     from (select stream, i, x, k from sig{d.series("2", "8", "ks", "k")}) a join sig b on a.stream = b.stream and b.i = a.i - a.k group by a.stream, a.k) q where c > 0) q2 where rk = 1"""

@@ -41,6 +41,14 @@ class Spark:
         places = "case when octet_length(t) > 0 then sequence(1, octet_length(t)) when t is not null then cast(array() as array<int>) end"
         return f"transform(array(encode({text}, 'utf-8')), t -> aggregate(transform({places}, p -> {byte}), cast({start} as bigint), (c, b) -> {step}))[0]"
 
+    @staticmethod
+    def crc32_forward(text: str) -> str:
+        """The CRC-32 that takes high bits first, from 0 and without a final flip.  It is the built-in CRC, which takes low
+        bits first, of bytes with their bits turned round, less that of as many zero bytes, turned round again."""
+        nibbles = f"translate(hex(encode({text}, 'utf-8')), '0123456789ABCDEF', '084C2A6E195D3B7F')"
+        turned = f"unhex(regexp_replace({nibbles}, '(.)(.)', '$2$1'))"
+        return f"cast(conv(reverse(lpad(bin(crc32({turned}) ^ crc32(unhex(repeat('00', octet_length({text}))))), 32, '0')), 2, 10) as bigint)"
+
     @staticmethod
     def pick(values: list[int], at: str) -> str:
         """The value at a place, counted from 0, of fixed ones."""
