@@ -51,6 +51,9 @@ class Model:
 
 def _bags(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features, sentence of each feature, sentence starts, sentence ends, sentence offsets by text)."""
+    if not len(data):  # empty texts only
+        n, none = len(offs) - 1, np.zeros(0, np.int64)
+        return none, none, np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n + 1)
     starts, ends, h, _ = words(data, offs, ALNUM_WORDS)
     cut = np.zeros(len(data) + 1, bool)
     cut[1:] = _STOP[data]
