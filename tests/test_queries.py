@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from timbral import plans
+from timbral.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,6 +33,16 @@ def test_query(spark, duck, name):
     assert got == sorted(sql, key=key)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["packet_reassembly", "sequence_holes", "hole_runs"])
+def test_ranges_of_a_serial(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(catalogue, "RANGE", 8)
+    frame = plans.queries()[name](spark, DATA)
+    columns = ", ".join(frame.columns)
+    sql = duck.execute(f"select {columns} from ({plans.oracle_sql()[name]})").fetchall()
+    assert len(sql) > 8 and sorted(map(tuple, frame.collect())) == sorted(sql)
+
+
 def test_queries_stay_in_the_jvm(spark):
     for name in ("rice_best_param", "packet_reassembly", "crc32_ogg"):
         plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().toString()

@@ -258,9 +258,28 @@ def page_lacing(d):
     return f"select doc_id, k, case when k < {d.div('n', '255')} then cast(255 as bigint) else cast(n % 255 as bigint) end as lace from (select doc_id, {n} as n from documents) q{d.series('0', d.div('n', '255'), 'ks', 'k')}"
 
 
+#: Sequence numbers in a range.  A serial's pages are ordered by ranges, each a task's work, so a serial may be of any size.
+RANGE = 4096
+
+
+def _totals_before(rows: str, place: str, amount: str) -> str:
+    """Spark SQL: the rows and, as ``before``, the sum of an amount over those before them in their serial.  That is the
+    sum inside the row's range plus the totals of the ranges before it, of which there is a row a range."""
+    earlier = "rows between unbounded preceding and 1 preceding"
+    parted = f"(select *, seq div {RANGE} as part from ({rows}) q)"
+    inside = f"select *, coalesce(sum({amount}) over (partition by serial, part order by {place} {earlier}), 0) as inside from {parted} q"
+    totals = f"select serial, part, sum({amount}) as total from {parted} q group by serial, part"
+    outside = f"select serial as of_serial, part as of_part, coalesce(sum(total) over (partition by serial order by part {earlier}), 0) as outside from ({totals}) q"
+    return f"select *, inside + outside as before from ({inside}) a join ({outside}) b on a.serial <=> b.of_serial and a.part <=> b.of_part"
+
+
 @_named
 def packet_reassembly(d):
     """Packets from lacing values: a value under 255 ends one."""
+    if d.name == "spark":
+        laces = f"select doc_id % 4 as serial, doc_id as seq, k, lace from ({page_lacing(d)}) q"
+        numbered = _totals_before(laces, "seq, k", "case when lace < 255 then 1 else 0 end")
+        return f"select serial, cast(before as bigint) as packet, min(seq) as first_doc, cast(sum(lace) as bigint) as size, count(*) as segments from ({numbered}) q2 group by serial, before"
     return f"""select serial, cast(packet as bigint) as packet, min(seq) as first_doc, cast(sum(lace) as bigint) as size, count(*) as segments from
     (select serial, seq, k, lace, coalesce(sum(case when lace < 255 then 1 else 0 end) over (partition by serial order by seq, k rows between unbounded preceding and 1 preceding), 0) as packet
     from (select doc_id % 4 as serial, doc_id as seq, k, lace from ({page_lacing(d)}) q) q2) q3 group by serial, packet"""
@@ -272,12 +291,20 @@ def _gaps(d) -> str:
 
 @_named
 def sequence_holes(d):
+    if d.name == "spark":
+        parted = f"(select *, seq div {RANGE} as part from ({_gaps(d)}) q)"
+        inside = f"select *, lag(seq) over (partition by serial, part order by seq) as near from {parted} q"
+        outside = f"select serial as of_serial, part as of_part, lag(last) over (partition by serial order by part) as far from (select serial, part, max(seq) as last from {parted} q group by serial, part) q"
+        found = f"select serial, seq, coalesce(near, far) as before from ({inside}) a join ({outside}) b on a.serial <=> b.of_serial and a.part <=> b.of_part"
+        return f"select serial, seq, seq - before - 1 as missing from ({found}) q2 where seq <> before + 1"
     return f"select serial, seq, seq - before - 1 as missing from (select serial, seq, lag(seq) over (partition by serial order by seq) as before from ({_gaps(d)}) q) q2 where seq <> before + 1"
 
 
 @_named
 def hole_runs(d):
     """Runs of pages without a gap."""
+    if d.name == "spark":
+        return f"select serial, min(seq) as first_seq, max(seq) as last_seq, count(*) as pages from ({_totals_before(_gaps(d), 'seq', '1')}) q2 group by serial, seq - before"
     return f"""select serial, min(seq) as first_seq, max(seq) as last_seq, count(*) as pages from (select serial, seq, seq - row_number() over (partition by serial order by seq) as island from ({_gaps(d)}) q) q2 group by serial, island"""
 
 
