@@ -5,7 +5,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from test_text_operators import brute_jaccard, brute_suffix, lower, ordered
+from test_text_operators import brute_jaccard, brute_kept, lower, ordered
 
 import corpus_pipeline
 from timbral.llm.common import stash
@@ -26,9 +26,10 @@ def test_stages(spark):
     assert {i for i, _ in whole} >= {i for i, _ in gentle} and not [i for i, _ in set(whole) - set(gentle) if i not in toxic and i in {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}]
     assert sorted(i for i, _ in unique) == sorted({c for _, _, c in brute_jaccard(gentle, 5, 80)})
     assert set(unique) <= set(gentle)
-    left = {i: len(t.encode()) - n for (i, t), (_, n, _, _) in zip(unique, brute_suffix(unique, 200), strict=True)}
     # a character that is cut in half goes whole
-    assert len(cut) == len(unique) and all(0 <= left[i] - len(t.encode()) <= 8 + left[i] // 50 for i, t in cut)
+    left = [kept.decode("utf-8", "ignore") for kept in brute_kept(unique, 200)]
+    assert sum(map(len, left)) < sum(len(t) for _, t in unique)
+    assert ordered(cut) == ordered([(i, t) for (i, _), t in zip(unique, left, strict=True)])
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     windows = set()
     for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():

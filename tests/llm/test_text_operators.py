@@ -147,21 +147,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def brute_suffix(rows, length):
+def brute_marks(rows, length):
+    """Each text's bytes and as many marks, 1 where a byte goes."""
     seen = {}
     texts = [(r[1] or "").encode() for r in rows]
     for t in texts:
         for i in range(len(t) - length + 1):
             seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
-    out = []
-    for r, t in zip(rows, texts, strict=True):
+    for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
-        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        out.append((r[0], sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    return out
+        yield t, bytes(gone)
+
+
+def brute_kept(rows, length):
+    return [bytes(b for b, g in zip(t, gone, strict=True) if not g) for t, gone in brute_marks(rows, length)]
+
+
+def brute_suffix(rows, length):
+    marks = [(sum(gone), len(re.findall(rb"\x01+", gone))) for _, gone in brute_marks(rows, length)]
+    return [(r[0], *m, hashlib.sha256(kept).hexdigest()) for r, m, kept in zip(rows, marks, brute_kept(rows, length), strict=True)]
 
 
 @pytest.mark.parametrize(("length", "trigger", "few"), [(200, 48, 128), (200, 48, 1), (60, 16, 3)])
