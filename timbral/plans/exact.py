@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import celt, rangecoder
+from ..functions import celt, rangecoder, silk
 from ..operators import codebook
 from ..sources import ogg
 from .catalogue import BLOCK, views
@@ -353,3 +353,57 @@ def package_merge_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codeword_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codeword of each entry of those codes."""
     return _books(spark, sf_dir, lambda c: codebook.codewords(codebook.lengths_from_counts(c, 8)), "word")
+
+
+# Opus ----------------------------------------------------------------------------------------
+
+
+@_query(_V + "select stream, block, p, x % 4000 - 2000 as v from blk")
+def silk_pulses_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers of -2000 to 1999 through the pulse code of the SILK layer: totals of a block, halves, low bits and
+    signs, with splits of even chance."""
+    shells = silk.even_shells()
+
+    def kernel(x: np.ndarray) -> list:
+        values, coder = (x % 4000 - 2000).tolist(), rangecoder.Encoder()
+        silk.encode_pulses(coder, values, silk.UNVOICED, 0, shells)
+        return silk.pulses(rangecoder.Decoder(coder.bytes()), silk.UNVOICED, 0, len(values), shells)
+
+    return _each(_blocks(spark, sf_dir), kernel, "bigint")
+
+
+_DRIFT = silk.DRIFT[False, 4]
+
+
+@_query(
+    _V + f"""select stream, block, p, cast(k as bigint) as subframe, cast(greatest(32, least(288, 32 + x % 256 + case k {" ".join(f"when {k} then {list(row)}[1 + x // 256 % 34]" for k, row in enumerate(_DRIFT))} end)) as bigint) as lag
+    from blk cross join unnest(range(0, 4)) t(k)"""
+)
+def pitch_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags of the four subframes of frames at 16 kHz whose lag index and contour come from a sample."""
+    at, contour = F.pmod(F.col("x"), F.lit(256)), F.pmod(F.floor(F.col("x") / 256), F.lit(34)).cast("int")
+    drift = F.array(*(F.array(*map(F.lit, row)) for row in _DRIFT))
+    lags = F.transform(drift, lambda row: F.greatest(F.lit(32), F.least(F.lit(288), 32 + at + F.get(row, contour))).cast("long"))
+    rows = _samples(spark, sf_dir).select("stream", F.floor(F.col("i") / BLOCK).cast("long").alias("block"), (F.col("i") % BLOCK).alias("p"), F.posexplode(lags).alias("subframe", "lag"))
+    return rows.withColumn("subframe", F.col("subframe").cast("long"))
+
+
+@_query(
+    _V + """, edge as (select *, least(32767, greatest(0, x)) as f from blk where n >= 10 and p < 10), raw as (select stream, block, list(f order by p) as l from edge group by all having count(*) = 10),
+    sorted as (select stream, block, list_sort(l) as l from raw)
+    select stream, block, cast(k as bigint) as p, true as apart from sorted cross join unnest(range(0, 10)) t(k)"""
+)
+def stable_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each of ten lines made of a block's samples keeps its distance after it was moved; the oracle is that
+    all do."""
+    spacing = (250, *(3,) * 9, 461)
+
+    def kernel(x: np.ndarray) -> list:
+        if len(x) < 10:
+            return []
+        found = silk.stabilise(np.clip(x[:10], 0, 32767).tolist(), spacing)
+        gaps = np.diff([0, *found, 1 << 15]) - np.array(spacing)
+        return [int(gaps[k] >= 0 and gaps[k + 1] >= 0) for k in range(10)]
+
+    rows = _each(_blocks(spark, sf_dir), kernel, "bigint")
+    return rows.select("stream", "block", "p", (F.col("v") == 1).alias("apart"))
