@@ -270,7 +270,7 @@ def repeated(keyed: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
     some = stash(_occurrences(keyed, length, trigger, twice.select("ah")).join(twice, "ah"), "occurrences")
     dictionary = stash(some.filter("mixed").groupBy("ah", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "s", "len")).alias("one")), "dictionary")
     whole = some.filter("not mixed").unionByName(some.filter("mixed").join(dictionary.filter("c > 1").select("ah", "sh"), ["ah", "sh"]).select(*some.columns))
-    sizes = dictionary.groupBy("ah").agg(F.count("*").alias("m"))
+    sizes = stash(dictionary.groupBy("ah").agg(F.count("*").alias("m")), "sizes")  # a table, so that a hot trigger's side of the join can be split
     need = stash(dictionary.join(sizes, "ah").select("ah", "m", "one.*"), "need")
     pieces = stash(_dictionary_bytes(keyed, need, length), "phrases")
     few, many = _few(pieces.filter(F.col("m") <= FEW), length), _many(pieces.filter(F.col("m") > FEW), length)
