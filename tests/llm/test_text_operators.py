@@ -140,6 +140,43 @@ def test_hot_group_of_near_copies(spark):
     assert ordered(found) == ordered(brute_jaccard(rows, 3, 90))
 
 
+def test_few_pairs_of_near_copies_in_round_two(spark, monkeypatch):
+    """Copies of one text with one to eight edits each: most link, but few with a copy taken at random."""
+    rng, listed = random.Random(3), {}
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for j in rng.sample(range(150), 1 + i % 8):
+            text[j] = f"edit{i}.{j}"
+        rows.append((i, " ".join(text), *[None] * (3 + len(CLASH))))
+    checked = jaccard._checked
+
+    def counted(documents, marks, pairs, k, percent, name):
+        listed[name] = pairs.count()
+        return checked(documents, marks, pairs, k, percent, name)
+
+    monkeypatch.setattr(jaccard, "_checked", counted)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
+    assert ordered(found) == ordered(brute_jaccard(rows, 5, 80))
+    assert listed["links2"] < 400
+
+
+def test_copies_in_many_tasks_make_no_more_pairs(spark, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[: 9 * i], f"edit{i}", *base[9 * i :]]) for i in range(5)]
+    docs = spark.createDataFrame([(i, texts[i // 40], *[None] * (3 + len(CLASH))) for i in range(200)], SCHEMA).repartition(4)
+    made, checked = {}, jaccard._checked
+
+    def kept(*args):
+        made[args[-1]] = checked(*args)
+        return made[args[-1]]
+
+    monkeypatch.setattr(jaccard, "_checked", kept)
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs, 3, 90).collect()} == {(i, 0) for i in range(200)}
+    assert made["links1"].count() == made["links1"].distinct().count() > 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 99), (50, 60), (60, 50), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

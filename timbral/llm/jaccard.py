@@ -8,8 +8,10 @@ Two documents link when |A & B| / |A | B| is at least a threshold given in perce
    and a set is ordered rarest first by these counts.  Any common order gives right results; a good one makes short
    posting lists.  In a corpus much larger than the sketch, shingles below the mean count of a cell look alike.
 3. The first n - ceil(t n) + 1 shingles of a set are its prefix; two sets that link share one of these.
-4. Round one compares the sets that share a prefix shingle with one pivot of the shingle and length
+4. Round one compares the sets that share a prefix shingle with two pivots of the shingle and length
    class only: a number of pairs in proportion to the postings, also inside huge groups of near copies.
+   One pivot is the set that has the fewest rarer shingles, so of near copies the least edited one; what links with
+   another copy links with this one too, as a rule, and a group is one component before round two.
    Each pair is verified once on its whole sets, and linked sets are joined to components.
 5. Round two compares every pair that shares a prefix shingle and is not yet in one component, if it
    passes the length filter, the positional filter (places left behind the shared shingle) and a
@@ -163,7 +165,7 @@ def _prefixes(documents: DataFrame, k: int, percent: int, counts: np.ndarray) ->
 
 
 def _whole_sets(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """node and set of the texts that have a wanted key (node, key); a node may come twice.
+    """node and set of the texts that have a wanted key (node, key), one row a key, however many copies there are.
 
     The texts are read again, as their sets take more space than they do.  A bitmap of the keys passes over
     most other texts before they are shuffled, and the join is exact."""
@@ -187,6 +189,7 @@ def _whole_sets(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
 
     texts = documents.select("text", F.xxhash64("text").alias("key"))
     texts = texts.mapInArrow(lean(likely), texts.schema).join(wanted.select("key"), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))  # else a pair would come for every two tasks that hold copies
     return texts.select("text").mapInArrow(lean(run), "node binary, set array<bigint>")
 
 
@@ -241,10 +244,13 @@ def _checked(documents: DataFrame, marks: DataFrame, pairs: DataFrame, k: int, p
 
 
 def _pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each posting with the pivot of its shingle and length class, if they may link.  The pivot is
-    the first in one of PIVOTS random orders of the nodes, so the shingles of a group choose few pivots."""
-    rank = F.xxhash64("node", F.pmod("gram", F.lit(PIVOTS)))
-    heads = shared.groupBy("gram", "class").agg(F.min(F.struct(rank.alias("rank"), "n", "node", "pos")).alias("h"))
+    """Pairs (a, b) of each posting with the pivots of its shingle and length class, if they may link.  One is the set
+    with the fewest rarer shingles, the other the first in one of PIVOTS random orders of the nodes, so the shingles of
+    a group choose few pivots."""
+    rank = F.xxhash64("node", F.pmod("gram", F.lit(PIVOTS))).alias("rank")
+    heads = shared.groupBy("gram", "class").agg(F.min(F.struct("pos", rank, "n", "node")).alias("least"), F.min(F.struct(rank, "n", "node", "pos")).alias("any"))
+    each = F.array_distinct(F.array(*(F.struct(*(F.col(f"{h}.{c}").alias(c) for c in ("node", "n", "pos"))) for h in ("least", "any"))))
+    heads = heads.select("gram", "class", F.explode(each).alias("h"))
     # a set links within its length class or the next
     heads = heads.select("gram", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), *(F.col(f"h.{c}").alias(f"{c}1") for c in ("node", "n", "pos")))
     others = shared.select("gram", "class", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos")))
